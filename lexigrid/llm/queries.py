@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexigrid.llm import exact_dedup, near_dedup, sharding
+from lexigrid.llm import bpe, exact_dedup, line_dedup, near_dedup, sharding
 from lexigrid.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(read(spark, sf_dir, "documents"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(read(spark, sf_dir, "documents"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read(spark, sf_dir, "documents"))
 
@@ -25,8 +33,8 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op7_sharding, op8_exact_dedup, op10_near_dedup)}
+    return {f.__name__: f for f in (op2_byte_bpe, op6_line_dedup, op7_sharding, op8_exact_dedup, op10_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_sharding": sharding.sql(), "op8_exact_dedup": exact_dedup.SQL}
+    return {"op6_line_dedup": line_dedup.SQL, "op7_sharding": sharding.sql(), "op8_exact_dedup": exact_dedup.SQL}
