@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexigrid.llm import bpe, exact_dedup, line_dedup, near_dedup, sharding
+from lexigrid.llm import bpe, decontaminate, exact_dedup, line_dedup, near_dedup, sharding
 from lexigrid.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(read(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(read(spark, sf_dir, "documents"))
 
@@ -33,7 +37,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_byte_bpe, op6_line_dedup, op7_sharding, op8_exact_dedup, op10_near_dedup)}
+    return {f.__name__: f for f in (op2_byte_bpe, op5_decontamination, op6_line_dedup, op7_sharding, op8_exact_dedup, op10_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
