@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexigrid.llm import bpe, decontaminate, exact_dedup, line_dedup, near_dedup, sharding
+from lexigrid.llm import bpe, decontaminate, exact_dedup, line_dedup, near_dedup, pii, sharding
 from lexigrid.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,12 +32,16 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(read(spark, sf_dir, "documents"))
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_byte_bpe, op5_decontamination, op6_line_dedup, op7_sharding, op8_exact_dedup, op10_near_dedup)}
+    return {f.__name__: f for f in (op2_byte_bpe, op5_decontamination, op6_line_dedup, op7_sharding, op8_exact_dedup, op9_pii, op10_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
