@@ -123,3 +123,12 @@ def words(b: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     np.cumsum(BYTE_WORD[b] * powers(len(b), True), out=total[1:])
     h = (total[ends] - total[starts]) * powers(len(b) + 1)[starts]
     return starts, ends, mix(h + (ends - starts).astype(U64) * GOLDEN)
+
+
+#: A side of a join is broadcast up to about so many bytes; beyond, both sides are shuffled.
+BROADCAST_BYTES = 64 << 20
+
+
+def beside(table: DataFrame, width: int = 16, most: int = BROADCAST_BYTES) -> DataFrame:
+    """A written table with rows of about ``width`` bytes as the small side of a join: broadcast if its count allows, else left to Catalyst."""
+    return F.broadcast(table) if table.count() * width <= most else table

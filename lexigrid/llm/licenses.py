@@ -54,7 +54,7 @@ CUE = r"licen[sc]e|copyright|rights reserved|public domain|permission is hereby
 AROUND = 8
 SHORT = 24
 #: A short notice saves little of a block: the dictionary may even cost a few bytes. What costs more is no candidate.
-LEAST_SAVED = -0.05
+LEAST_SAVED = -0.15
 TOLERANCE = 0.1
 _word = regex.compile(r"[\p{L}\p{N}]+(?:[.\-][\p{L}\p{N}]+)*")
 _cue = regex.compile(CUE, regex.IGNORECASE)

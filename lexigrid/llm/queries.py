@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexigrid.llm import bpe, decontaminate, exact_dedup, licenses, line_dedup, near_dedup, pii, sharding
+from lexigrid.llm import bpe, decontaminate, exact_dedup, language_id, licenses, line_dedup, near_dedup, pii, sharding
 from lexigrid.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.find_licenses(read(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "pages"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -45,7 +49,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_byte_bpe, op3_license_scan, op5_decontamination, op6_line_dedup, op7_sharding, op8_exact_dedup, op9_pii, op10_near_dedup)}
+    return {f.__name__: f for f in (op2_byte_bpe, op3_license_scan, op4_language_id, op5_decontamination, op6_line_dedup, op7_sharding, op8_exact_dedup, op9_pii, op10_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
