@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrid.llm.common import id_of, row_key
+from lexigrid.llm.common import beside, id_of, row_key
 from lexigrid.storage import discard, materialise
 
 FIRST = 48
@@ -35,7 +35,7 @@ def radix_groups(docs: DataFrame, first: int = FIRST, widen: int = WIDEN) -> Dat
     short = shared.where(F.col("n") <= first)
     settled.append(digit.where(F.col("n") <= first).join(short, ["n", "c"]).select("key", "lead", "size"))
     live = rows.withColumn("n", F.length("b")).where(F.col("n") > first).withColumn("c", F.substring("b", 1, first))
-    live = live.join(shared.where(F.col("n") > first).withColumnRenamed("lead", "g"), ["n", "c"])
+    live = live.join(beside(shared, 2 * first + 64).where(F.col("n") > first).withColumnRenamed("lead", "g"), ["n", "c"])
     live = materialise(live.select("g", "key", "n", F.expr(f"substring(b, {first + 1})").alias("b")), "radix")
     done, width = first, first * widen
     while not live.isEmpty():

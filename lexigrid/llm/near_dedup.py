@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrid.llm.common import GOLDEN, U64, id_of, mix, packed, row_key, runs, unpacked, utf8, words
+from lexigrid.llm.common import GOLDEN, U64, beside, id_of, mix, packed, row_key, runs, unpacked, utf8, words
 from lexigrid.operators.components import connected_components
 from lexigrid.shipping import map_arrow
 from lexigrid.storage import discard, materialise
@@ -171,7 +171,7 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, m: int = TABLES,
 
     need = stars.select(F.col("x").alias("sid")).unionByName(stars.select(F.col("y").alias("sid"))).distinct()
     chosen = signed.join(need, "sid", "left_semi").groupBy("sid").agg(F.min(F.struct("d", "h")).alias("k")).select("k.d", "k.h")
-    bodies = map_arrow(rows.join(materialise(chosen, "chosen"), ["d", "h"], "left_semi").select("text"), _sets(gram), "sid long, body binary")
+    bodies = map_arrow(rows.join(beside(materialise(chosen, "chosen")), ["d", "h"], "left_semi").select("text"), _sets(gram), "sid long, body binary")
     bodies = materialise(bodies.dropDuplicates(["sid"]), "sets")
 
     def check(pairs: DataFrame) -> DataFrame:
@@ -215,5 +215,6 @@ def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, m: int =
     Of rows that repeat doc_id and text every one stays or goes with its document.
     """
     gone = materialise(near_groups(docs, threshold, m, r, gram).where("d <> lead.d OR h <> lead.h").select("d", "h"), "gone")
+    gone = beside(gone)
     rows = packed(docs).withColumn("k", row_key(F.col("r.doc_id"), F.col("r.text")))
     return unpacked(rows.join(gone, (F.col("k.d") == gone.d) & (F.col("k.h") == gone.h), "left_anti"))

@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexigrid.llm import bpe, decontaminate, exact_dedup, language_id, licenses, line_dedup, near_dedup, pii, sharding
+from lexigrid.llm import bpe, decontaminate, exact_dedup, language_id, licenses, line_dedup, lm_scoring, near_dedup, pii, sharding
 from lexigrid.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(read(spark, sf_dir, "documents"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(read(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_byte_bpe, op3_license_scan, op4_language_id, op5_decontamination, op6_line_dedup, op7_sharding, op8_exact_dedup, op9_pii, op10_near_dedup)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_byte_bpe, op3_license_scan, op4_language_id, op5_decontamination, op6_line_dedup, op7_sharding, op8_exact_dedup, op9_pii, op10_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
