@@ -1,0 +1 @@
+"""Column functions: pure expressions that Catalyst sees through."""

@@ -1,0 +1 @@
+"""Operators over DataFrames: chunking, graph algebra, entities, communities, retrieval."""

@@ -1,0 +1 @@
+"""Where documents come from: files of many formats, and graph tables."""
