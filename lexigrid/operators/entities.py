@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexigrid.functions.text import sentences
-from lexigrid.shipping import map_arrow, ship
+from lexigrid.shipping import extended, map_arrow, ship
 
 TRIES = 3
 SPANS = "array<struct<text:string,label:string,score:double>>"
@@ -59,7 +59,7 @@ def chained_triples() -> Callable[[str, Spans], Triples]:
 def ner_spans(chunks: DataFrame, load: Callable[[], Callable[[list[str]], list[Spans]]] = capitalised_spans, threshold: float = 0.5) -> DataFrame:
     """``chunks`` with ``spans`` of all sentences, in order; a chunk on which the model fails has none."""
     rows = chunks.select(F.struct(*[F.col(f"`{c}`") for c in chunks.columns]).alias("r"), sentences(F.col("text")).alias("s"))
-    schema = rows.select("r").schema.add("spans", SPANS)
+    schema = extended(rows.select("r").schema, f"spans {SPANS}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load()
@@ -80,7 +80,7 @@ def ner_spans(chunks: DataFrame, load: Callable[[], Callable[[list[str]], list[S
 def extract_triples(chunks: DataFrame, load: Callable[[], Callable[[str, Spans], Triples]] = chained_triples, tries: int = TRIES) -> DataFrame:
     """``chunks`` (with ``spans``) with ``triples`` and ``extraction_successful``; after so many failures a chunk has none."""
     rows = chunks.select(F.struct(*[F.col(f"`{c}`") for c in chunks.columns]).alias("r"))
-    schema = rows.schema.add("triples", TRIPLES).add("extraction_successful", "boolean")
+    schema = extended(rows.schema, f"triples {TRIPLES}, extraction_successful boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load()

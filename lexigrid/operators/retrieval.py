@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lexigrid.functions import vectors as V
 from lexigrid.functions.text import excerpt, words
-from lexigrid.shipping import map_arrow
+from lexigrid.shipping import extended, map_arrow
 
 #: Queries whose vectors are broadcast at once.
 QUERY_BYTES = 32 << 20
@@ -158,7 +158,7 @@ def rrf(ranked: list[DataFrame], k: int = 60, by: str = "query_id", item: str =
 def rerank(candidates: DataFrame, load, k: int, query: str = "query", text: str = "text", by: str = "query_id", key: str = "doc_id") -> DataFrame:
     """The best ``k`` of each query by a pair-scoring model; ``load()`` gives ``f(queries, texts) -> scores`` once for each worker."""
     rows = candidates.select(F.struct(*[F.col(f"`{c}`") for c in candidates.columns]).alias("r"))
-    schema = rows.schema.add("rerank_score", "double")
+    schema = extended(rows.schema, "rerank_score double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load()

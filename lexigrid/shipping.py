@@ -13,6 +13,7 @@ from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 _shipped: set[str] = set()
 
@@ -34,3 +35,8 @@ def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     """``df.mapInArrow`` with this package at hand on the workers."""
     ship(df.sparkSession)
     return df.mapInArrow(f, schema)
+
+
+def extended(schema: T.StructType, more: str) -> T.StructType:
+    """``schema`` and further fields, given as DDL."""
+    return T.StructType([*schema.fields, *T._parse_datatype_string(more).fields])
