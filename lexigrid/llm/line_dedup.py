@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexigrid.llm.common import GOLDEN, U64, mix, packed, row_key, unpacked
+from lexigrid.llm.common import GOLDEN, U64, beside, mix, packed, row_key, unpacked
 from lexigrid.shipping import map_arrow
 from lexigrid.storage import discard, materialise
 
@@ -99,7 +99,7 @@ def line_drops(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     chosen = materialise(half.join(met, "hk", "left_semi").select("a", "b").distinct().join(known.select("a", "b", "first"), ["a", "b"]), "halves")
 
     # the earliest occurrence of each chosen line gives its text
-    texts = lines.where(F.length("line") >= min_chars).join(chosen.select("first.d", "first.h", "first.at", "a", "b"), ["d", "h", "at"]).select("a", "b", "line").dropDuplicates(["a", "b"])
+    texts = lines.where(F.length("line") >= min_chars).join(beside(chosen.select("first.d", "first.h", "first.at", "a", "b"), 96), ["d", "h", "at"]).select("a", "b", "line").dropDuplicates(["a", "b"])
     texts = materialise(texts, "texts")
     variants = map_arrow(texts, _variants, "vk long, at int, a long, b long")
     met = variants.groupBy("vk").agg(F.collect_set(F.struct("a", "b", "at")).alias("m")).where("size(m) > 1")
