@@ -106,7 +106,7 @@ def ingest(files: DataFrame, size: int = chunking.SIZE, overlap: int = chunking.
     parts = []
     for p in _parsers.values():
         own = found.where(F.col("parser") == p.name)
-        own = own.select("doc_id", "content") if p.binary else own.select("doc_id", F.decode("content", F.lit("UTF-8")).alias("text"))
+        own = own.select("doc_id", "content") if p.binary else own.select("doc_id", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
         part = p.run(own, size, overlap)
         if "heading_path" not in part.columns:
             part = part.withColumn("heading_path", F.array().cast("array<string>"))

@@ -1,0 +1 @@
+"""Incremental forms: ingestion of arriving files, windows over events, job states."""
