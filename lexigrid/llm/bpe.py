@@ -1,7 +1,7 @@
 """Byte-level BPE with a hierarchical-bitmap rank queue.
 
 A pre-token is a linked list of parts. Every adjacent pair that the vocabulary
-can merge puts its position into the bucket of its merge rank; a two-level
+can merge puts its position into the bucket of its merge rank; a hierarchical
 bitmap marks the buckets that are not empty, so find-first-set gives the least
 rank. A popped position whose pair has another rank by now is stale and is
 skipped. Each merge adds two entries at most: the work is linear in the length
@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,9 @@ from lexigrid.shipping import map_arrow
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LEAF = 256
+PAIR = 20
+DENSE = 256
+_BIT = [1 << k for k in range(1 << 12)]
 CACHED = 400_000
 
 
@@ -36,77 +40,152 @@ def load_ranks(path: str = VOCABULARY) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-class RankQueue:
-    """Positions by rank. ``pop`` gives the least rank's leftmost position."""
-
-    def __init__(self) -> None:
-        self.top = 0
-        self.leaves: dict[int, int] = {}
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket:
-            heapq.heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        hi = rank // LEAF
-        self.leaves[hi] = self.leaves.get(hi, 0) | 1 << rank % LEAF
-        self.top |= 1 << hi
-
-    def pop(self) -> tuple[int, int]:
-        hi = (self.top & -self.top).bit_length() - 1
-        leaf = self.leaves[hi]
-        low = leaf & -leaf
-        rank = hi * LEAF + low.bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heapq.heappop(bucket)
-        if not bucket:
-            leaf ^= low
-            self.leaves[hi] = leaf
-            if not leaf:
-                self.top &= ~(1 << hi)
-        return rank, position
+class Merger:
+    """A vocabulary's merges, and the rank queue that orders them.
 
+    The queue is a bitmap of three levels: ``top`` marks the leaves in use, a leaf the buckets (ranks) in
+    use, a bucket the positions in it. Pieces of more than ``DENSE`` bytes hold positions in heaps
+    instead of bits, so that a bucket's size follows what is in it. The queue is
+    empty between pieces and is used again.
+    """
 
-def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Token ids of one pre-token."""
-    whole = ranks.get(piece)
-    if whole is not None:
-        return [whole]
-    n = len(piece)
-    end = list(range(1, n + 1))  # end of the part that starts at i; 0 when i starts none
-    before = list(range(-1, n - 1))
-    queue = RankQueue()
-    get, push = ranks.get, queue.push
-    for i in range(n - 1):
-        r = get(piece[i : i + 2])
-        if r is not None:
-            push(r, i)
-    while queue.top:
-        rank, i = queue.pop()
-        mid = end[i]
-        if not mid or mid >= n:
-            continue
-        stop = end[mid]
-        if get(piece[i:stop]) != rank:
-            continue
-        end[i], end[mid] = stop, 0
-        if stop < n:
-            before[stop] = i
-            r = get(piece[i : end[stop]])
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        self.ranks = ranks
+        self.single = [ranks[bytes([i])] for i in range(256)]
+        get = ranks.get
+        pairs: dict[int, int] = {}
+        for token, rank in ranks.items():
+            for k in range(1, len(token)):
+                a, b = get(token[:k]), get(token[k:])
+                if a is not None and b is not None:
+                    pairs[a << PAIR | b] = rank
+        #: Rank of what two adjacent parts become.
+        self.merged = pairs.get
+        n = max(ranks.values()) + 1
+        self.bits = [0] * n
+        self.leaves = [0] * (n // LEAF + 1)
+
+    def encode(self, piece: bytes) -> list[int]:
+        """Token ids of one pre-token."""
+        whole = self.ranks.get(piece)
+        if whole is not None:
+            return [whole]
+        single = self.single
+        part = [single[c] for c in piece]
+        if len(part) > DENSE:
+            self._long(part)
+        elif part:
+            self._short(part)
+        return [p for p in part if p >= 0]
+
+    def _short(self, part: list[int]) -> None:
+        """Merge in place: a part that went into the one before it becomes -1."""
+        merged, bits, leaves, bit = self.merged, self.bits, self.leaves, _BIT
+        n = len(part)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        top = i = 0
+        a = part[0]
+        for b in part[1:]:
+            r = merged(a << PAIR | b)
             if r is not None:
-                push(r, i)
-        left = before[i]
-        if left >= 0:
-            r = get(piece[left:stop])
+                held = bits[r]
+                bits[r] = held | bit[i]
+                if not held:
+                    leaves[r >> 8] |= bit[r & 255]
+                    top |= bit[r >> 8]
+            i += 1
+            a = b
+        while top:
+            hi = (top & -top).bit_length() - 1
+            leaf = leaves[hi]
+            low = leaf & -leaf
+            rank = (hi << 8) + low.bit_length() - 1
+            held = bits[rank]
+            p = held & -held
+            i = p.bit_length() - 1
+            bits[rank] = held = held ^ p
+            if not held:
+                leaves[hi] = leaf = leaf ^ low
+                if not leaf:
+                    top ^= bit[hi]
+            a = part[i]
+            mid = after[i]
+            # stale: the part is gone, or its pair has another rank by now
+            if a < 0 or mid >= n or merged(a << PAIR | part[mid]) != rank:
+                continue
+            part[i], part[mid] = rank, -1
+            stop = after[i] = after[mid]
+            if stop < n:
+                before[stop] = i
+                r = merged(rank << PAIR | part[stop])
+                if r is not None:
+                    held = bits[r]
+                    bits[r] = held | bit[i]
+                    if not held:
+                        leaves[r >> 8] |= bit[r & 255]
+                        top |= bit[r >> 8]
+            left = before[i]
+            if left >= 0:
+                r = merged(part[left] << PAIR | rank)
+                if r is not None:
+                    held = bits[r]
+                    bits[r] = held | bit[left]
+                    if not held:
+                        leaves[r >> 8] |= bit[r & 255]
+                        top |= bit[r >> 8]
+
+    def _long(self, part: list[int]) -> None:
+        merged, leaves = self.merged, self.leaves
+        n = len(part)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heaps: dict[int, list[int]] = {}
+        top = 0
+
+        def push(rank: int, position: int) -> None:
+            nonlocal top
+            heap = heaps.get(rank)
+            if heap:
+                heapq.heappush(heap, position)
+            else:
+                heaps[rank] = [position]
+                leaves[rank >> 8] |= _BIT[rank & 255]
+                top |= 1 << (rank >> 8)
+
+        for i in range(n - 1):
+            r = merged(part[i] << PAIR | part[i + 1])
             if r is not None:
-                push(r, left)
-    out, i = [], 0
-    while i < n:
-        out.append(ranks[piece[i : end[i]]])
-        i = end[i]
-    return out
+                push(r, i)
+        while top:
+            hi = (top & -top).bit_length() - 1
+            leaf = leaves[hi]
+            low = leaf & -leaf
+            rank = (hi << 8) + low.bit_length() - 1
+            heap = heaps[rank]
+            i = heapq.heappop(heap)
+            if not heap:
+                leaves[hi] = leaf ^ low
+                if not leaves[hi]:
+                    top ^= 1 << hi
+            a, mid = part[i], after[i]
+            if a < 0 or mid >= n or merged(a << PAIR | part[mid]) != rank:
+                continue
+            part[i], part[mid] = rank, -1
+            stop = after[i] = after[mid]
+            if stop < n:
+                before[stop] = i
+                r = merged(rank << PAIR | part[stop])
+                if r is not None:
+                    push(r, i)
+            left = before[i]
+            if left >= 0:
+                r = merged(part[left] << PAIR | rank)
+                if r is not None:
+                    push(r, left)
+
+
+def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Token ids of one pre-token, by a merger of its own."""
+    return Merger(ranks).encode(piece)
 
 
 class _Pieces(dict):
@@ -114,10 +193,10 @@ class _Pieces(dict):
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         super().__init__()
-        self.ranks = ranks
+        self.encode = Merger(ranks).encode
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(encode_piece(piece.encode("utf-8", "surrogatepass"), self.ranks), "<i4").tobytes()
+        ids = array("i", self.encode(piece.encode("utf-8", "surrogatepass"))).tobytes()
         if len(piece) <= 64:
             self[piece] = ids
         return ids
