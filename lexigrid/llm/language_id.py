@@ -9,7 +9,9 @@ The posterior over languages of a text combines
 
 All of these are counted over the whole input by grouped aggregation; which
 language a text counts for is decided by its trigrams alone. Beside the
-languages there is ``und``, for which every trigram is as likely as any other.
+languages there is ``und``, for which every trigram is as likely as any other. Every declared
+language is one of the languages, however few texts declare it. Where nothing is declared, all texts
+together are the only language, and it has no name.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -28,13 +31,13 @@ from lexigrid.storage import materialise
 
 BUCKETS = 1 << 15
 BLOCK = 1 << 20
-#: A declared language that fewer texts carry is not a class of its own.
-MIN_LABELLED = 20
 #: Trigrams overlap, so each counts for less than an independent witness would.
 TEMPER = 0.4
 KAPPA_DOMAIN = 20.0
 KAPPA_HOST = 10.0
 ADD = 0.5
+#: So many trigrams laid out like those of all labelled texts are added to each language's own: a thin language leans on them.
+LEAN = 4096.0
 UNKNOWN = 0.01
 ACCEPT = 0.5
 UND = "und"
@@ -89,11 +92,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Model:
-    """Log likelihood of each trigram under each language; ``und`` comes last."""
+    """Log likelihood of each trigram under each language; ``und`` comes last. Takes 128 KB a language."""
 
     def __init__(self, languages: list[str], counts: np.ndarray) -> None:
         self.languages = [*languages, UND]
-        p = (counts + ADD) / (counts.sum(axis=1, keepdims=True) + ADD * BUCKETS)
+        pooled = (counts.sum(axis=0) + ADD) / (counts.sum() + ADD * BUCKETS)
+        p = (counts + LEAN * pooled) / (counts.sum(axis=1, keepdims=True) + LEAN)
         self.log = np.vstack([np.log(p), np.full((1, BUCKETS), -np.log(BUCKETS))]).T.astype(np.float32).copy()
 
     def score(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -109,16 +113,21 @@ class Model:
         return TEMPER * out, n
 
 
-def train(pool: DataFrame, min_labelled: int = MIN_LABELLED) -> Model:
-    """Counts of every labelled text. What reaches the driver is bounded by languages times buckets."""
-    labelled = pool.where("declared IS NOT NULL AND text IS NOT NULL")
-    names = sorted(r[0] for r in labelled.groupBy("declared").count().where(F.col("count") >= min_labelled).select("declared").collect() if r[0] != UND)
+def train(pool: DataFrame) -> Model:
+    """Counts of every labelled text, of all texts where none is labelled. What reaches the driver is bounded by languages times buckets."""
+    texts = pool.where("text IS NOT NULL").select(F.when(F.col("declared") != UND, F.col("declared")).alias("declared"), "text")
+
+    def counted(rows: DataFrame) -> pd.DataFrame:
+        counts = map_arrow(rows, _count, "declared string, bucket int, n long")
+        return counts.groupBy("declared", "bucket").agg(F.sum("n").alias("n")).toPandas()
+
+    got = counted(texts.where("declared IS NOT NULL"))
+    if not len(got):
+        got = counted(texts.withColumn("declared", F.lit(UND)))
+    # a language all of whose texts lack letters has no counts and is none
+    names = sorted(got["declared"].unique())
     table = np.zeros((len(names), BUCKETS))
-    if names:
-        at = {n: i for i, n in enumerate(names)}
-        counts = map_arrow(labelled.where(F.col("declared").isin(names)).select("declared", "text"), _count, "declared string, bucket int, n long")
-        got = counts.groupBy("declared", "bucket").agg(F.sum("n").alias("n")).toPandas()
-        table[got["declared"].map(at).to_numpy(np.int64), got["bucket"].to_numpy()] = got["n"]
+    table[got["declared"].map({n: i for i, n in enumerate(names)}).to_numpy(np.int64), got["bucket"].to_numpy(np.int64)] = got["n"]
     return Model(names, table)
 
 
@@ -173,7 +182,8 @@ def fuse(pool: DataFrame, model: Model, accept: float = ACCEPT) -> DataFrame:
     """``(d, h, lang, posterior, declared, accepted)`` for each row of the evidence.
 
     ``lang`` is ``und`` with posterior null where the text has no letters. ``accepted``: a
-    language other than ``und`` has a posterior of at least ``accept``.
+    language of the model has a posterior of at least ``accept``. The one language of a table without any
+    declaration is called ``und`` as well; accepted are the texts that fit it better than chance.
     """
     width = len(model.languages) - 1
     scored = materialise(_scores(pool, model), "scores")
@@ -211,12 +221,14 @@ def fuse(pool: DataFrame, model: Model, accept: float = ACCEPT) -> DataFrame:
     out = out.withColumn("top", F.array_max("post"))
     out = out.withColumn("sum", F.aggregate("post", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top"))))
     names = F.array(*[F.lit(x) for x in model.languages])
-    lang = F.when(F.col("n") > 0, F.element_at(names, F.array_position("post", F.col("top")).cast("int"))).otherwise(F.lit(UND))
-    out = out.select("d", "h", lang.alias("lang"), F.when(F.col("n") > 0, 1 / F.col("sum")).alias("posterior"), "declared")
-    return out.withColumn("accepted", (F.col("lang") != UND) & (F.coalesce("posterior", F.lit(0.0)) >= accept))
+    place = F.array_position("post", F.col("top")).cast("int")
+    lang = F.when(F.col("n") > 0, F.element_at(names, place)).otherwise(F.lit(UND))
+    posterior = F.when(F.col("n") > 0, 1 / F.col("sum"))
+    accepted = (place <= width) & (F.coalesce(posterior, F.lit(0.0)) >= accept)
+    return out.select("d", "h", lang.alias("lang"), posterior.alias("posterior"), "declared", accepted.alias("accepted"))
 
 
-def identify(docs: DataFrame | None = None, pages: DataFrame | None = None, min_labelled: int = MIN_LABELLED, accept: float = ACCEPT) -> DataFrame:
+def identify(docs: DataFrame | None = None, pages: DataFrame | None = None, accept: float = ACCEPT) -> DataFrame:
     """``(doc_id, page_id, lang, posterior, declared, accepted)``, one row for each row of either table.
 
     Texts without letters, null ones among them, are ``und`` and not accepted. Null declarations,
@@ -228,7 +240,7 @@ def identify(docs: DataFrame | None = None, pages: DataFrame | None = None, min_
         parts.append(document_evidence(docs).withColumn("host", F.concat(F.lit("doc "), "host")))
     if pages is not None:
         parts.append(page_evidence(pages))
-    model = train(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]), min_labelled)
+    model = train(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]))
     none = F.lit(None).cast("long")
     out = []
     for k, part in enumerate(parts):
@@ -239,10 +251,10 @@ def identify(docs: DataFrame | None = None, pages: DataFrame | None = None, min_
     return out[0] if len(out) == 1 else out[0].unionByName(out[1])
 
 
-def keep_identified(docs: DataFrame, min_labelled: int = MIN_LABELLED, accept: float = ACCEPT) -> DataFrame:
+def keep_identified(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
     """``docs`` without the rows whose language is not accepted; all columns stay as they are."""
     pool = document_evidence(docs)
-    found = fuse(pool, train(pool, min_labelled), accept)
+    found = fuse(pool, train(pool), accept)
     gone = materialise(found.where("NOT accepted").select("d", "h").distinct(), "rejected")
     gone = beside(gone)
     rows = packed(docs).withColumn("k", row_key(F.col("r.doc_id"), F.col("r.text")))

@@ -1,0 +1,38 @@
+from pyspark.sql import functions as F
+
+from lexigrid.llm import language_id as L
+from lexigrid.llm.common import read
+
+
+def rare(spark, sf, most):
+    """The documents, with ``most`` of the Spanish ones only."""
+    docs = read(spark, sf, "documents")
+    es = [r[0] for r in docs.where("lang = 'es'").select("doc_id").orderBy("doc_id").limit(most).collect()]
+    return docs.where(F.coalesce(F.col("lang"), F.lit("")) != "es").unionByName(docs.where(F.col("doc_id").isin(es))), es
+
+
+def test_a_language_that_few_texts_declare_is_a_class(spark, sf):
+    for most in (17, 3):
+        docs, es = rare(spark, sf, most)
+        found = {r["doc_id"]: r for r in L.identify(docs).collect()}
+        named = [i for i in es if found[i]["accepted"]]
+        assert len(es) == most and len(named) >= 0.8 * most
+        assert {found[i]["lang"] for i in named} == {"es"}
+        kept = {r["doc_id"] for r in L.keep_identified(docs).select("doc_id").collect()}
+        assert kept == {i for i, r in found.items() if r["accepted"]}
+
+
+def test_a_thin_language_takes_no_texts_from_others(spark, sf):
+    docs, es = rare(spark, sf, 2)
+    other = L.identify(docs.where(~F.col("doc_id").isin(es))).where("accepted").select("doc_id", "lang").collect()
+    found = {r["doc_id"]: r["lang"] for r in L.identify(docs).collect()}
+    assert len(other) > 100 and sum(found[r["doc_id"]] != r["lang"] for r in other) <= 2
+
+
+def test_without_any_declaration_texts_with_letters_are_kept(spark, sf):
+    docs = read(spark, sf, "documents").withColumn("lang", F.lit(None).cast("string"))
+    blank = docs.limit(1).withColumn("doc_id", F.lit(-1).cast(docs.schema["doc_id"].dataType)).withColumn("text", F.lit("12 34 ..."))
+    found = L.identify(docs.unionByName(blank)).collect()
+    assert {r["lang"] for r in found} == {"und"}
+    kept = {r["doc_id"] for r in L.keep_identified(docs.unionByName(blank)).select("doc_id").collect()}
+    assert len(kept) > 0.8 * docs.count() and -1 not in kept
