@@ -50,7 +50,9 @@ TEMPLATES: dict[str, str] = {
     "All-rights-reserved": "All rights reserved.",
 }
 
-CUE = r"licen[sc]e|copyright|rights reserved|public domain|permission is hereby granted|permission to use, copy|redistribution and use|free software|source code form is subject|creative commons|waived all"
+_CUES = ("licen[sc]e", "copyright", "rights reserved", "public domain", "permission is hereby granted", "permission to use copy", "redistribution and use", "free software", "source code form is subject", "creative commons", "waived all")
+#: Between the words of a cue stands whatever may stand between words: line breaks, comment signs.
+CUE = "|".join(c.replace(" ", r"[^\p{L}\p{N}]+") for c in _CUES)
 AROUND = 8
 SHORT = 24
 #: A short notice saves little of a block: the dictionary may even cost a few bytes. What costs more is no candidate.
@@ -102,8 +104,21 @@ class Templates:
             found = len(want) - common, last - match[0].b - common, s + match[0].b, s + last
             if found[0] + found[1] <= most and (best is None or found[0] + found[1] < best[0] + best[1]):
                 best = found
+                if best[0] + best[1] == 0:
+                    break
         return best
 
+    def places(self, block: list[str], name: str, tolerance: float = TOLERANCE) -> Iterator[tuple[int, int, int, int]]:
+        """Places of the template in the block that do not overlap, as ``confirm`` has them: the best one, and those before and behind it."""
+        parts = [(0, len(block))]
+        while parts:
+            lo, hi = parts.pop()
+            ok = self.confirm(block[lo:hi], name, tolerance)
+            if ok is not None:
+                missing, extra, first, last = ok[0], ok[1], lo + ok[2], lo + ok[3]
+                yield missing, extra, first, last
+                parts += [(lo, first), (last, hi)]
+
 
 def blocks(spans: list[tuple[str, int, int]], text: str, reach: int) -> Iterator[tuple[int, int]]:
     """Word ranges around the cues, ``reach`` words to both sides; ranges that touch are one."""
@@ -135,11 +150,8 @@ def scan_text(text: str, t: Templates, tolerance: float = TOLERANCE) -> list[tup
         for lo, hi in blocks(spans, text, (SHORT if short else t.longest) + AROUND):
             block = [w for w, _, _ in spans[lo:hi]]
             for saved, name in t.ranked(block, short):
-                at = 0
-                while (ok := t.confirm(block[at:], name, tolerance)) is not None:
-                    missing, extra, first, last = ok
-                    here.append((missing + extra, -len(t.words[name]), -saved, name, lo + at + first, lo + at + last, missing, extra))
-                    at += last
+                for missing, extra, first, last in t.places(block, name, tolerance):
+                    here.append((missing + extra, -len(t.words[name]), -saved, name, lo + first, lo + last, missing, extra))
     taken: list[tuple[int, int]] = []
     found = []
     for _, _, saved, name, a, b, missing, extra in sorted(here):

@@ -1,0 +1,29 @@
+from lexigrid.llm import licenses as L
+
+MIT = L.TEMPLATES["MIT-text"]
+
+
+def scan(text):
+    return [(name, missing + extra) for name, _, _, _, missing, extra in L.scan_text(text, L.Templates(L.TEMPLATES))]
+
+
+def test_an_altered_notice_before_an_exact_one_is_found():
+    altered = MIT.replace("deal in the", "deal with the")
+    text = "\n\n".join([altered, MIT, altered, MIT])
+    got = [x for x in scan(text) if x[0] == "MIT-text"]
+    assert [d > 0 for _, d in got] == [True, False, True, False]
+    for key in ("BSD-clauses", "GPL-3.0-notice"):
+        words = L.TEMPLATES[key].split()
+        words[9] = "otherwise"
+        assert [x[0] for x in scan(" ".join(words) + "\n" + L.TEMPLATES[key])] == [key, key]
+
+
+def test_places_do_not_overlap():
+    found = L.scan_text(" ".join([MIT] * 5), L.Templates(L.TEMPLATES))
+    assert len(found) == 5 and all(a[2] <= b[1] for a, b in zip(found, found[1:]))
+
+
+def test_a_wrapped_cue_is_a_cue(spark):
+    texts = ["All rights\nreserved.", "# All rights\n# reserved.", "All  rights   reserved.", "all right reserved", None, ""]
+    rows = L.find_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["license"]) for r in rows) == [(i, "All-rights-reserved") for i in range(3)]
