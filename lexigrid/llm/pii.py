@@ -8,6 +8,7 @@ sides and validates what it finds.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import ahocorasick
@@ -30,9 +31,33 @@ CUES = ("password", "passwd", "pwd", "token", "secret", "api_key", "api-key", "a
 ACCOUNTS = ("account", "acct", "iban", "ssn", "passport")
 SCHEMES = ("://", "mailto:")
 
+#: What shows that an address names a person, behind its scheme.
+PERSONAL = ("/~", "/@", "/user/", "/users/", "email=", "user=", "account=", "token=", "password=")
+_authority = re.compile("[^/?#]*")
+
 Span = tuple[str, int, int]
 
 
+class Runs:
+    """Runs of ``chars`` in a text without the signs ``trim`` at their ends. However many anchors stand in a run, it is walked once."""
+
+    def __init__(self, text: str, chars: frozenset[str], trim: str, marks: tuple[str, ...]) -> None:
+        self.text, self.trim, self.marks = text, trim, marks
+        self.match = re.compile("[" + re.escape("".join(sorted(chars))) + "]*").match
+        self.start = self.end = self.stop = 0
+        self.mark = -1
+
+    def at(self, i: int) -> tuple[int, int]:
+        """Where the run from ``i`` on ends, and where the last of ``marks`` in it starts (less than ``i`` if there is none)."""
+        if not self.start <= i < self.end:
+            self.start, self.end = i, self.match(self.text, i).end()
+            run = self.text[i : self.end].lower()
+            self.stop = i + len(run.rstrip(self.trim))
+            last = max(run.rfind(m) for m in self.marks)
+            self.mark = i + last if last >= 0 else -1
+        return max(i, self.stop), self.mark
+
+
 def automaton() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
     a.add_word("@", ("email", 1))
@@ -215,7 +240,7 @@ def _number(t: str, i: int) -> Span | None:
     return _phone(t, i - 1 if i and t[i - 1] == "(" else i)
 
 
-def _secret(t: str, j: int) -> Span | None:
+def _secret(t: str, j: int, values: Runs) -> Span | None:
     """After the cue: a separator, maybe quotes, and a value of 8 characters or more with a digit in it."""
     n = len(t)
     while j < n and t[j] in " \t\"'":
@@ -225,14 +250,10 @@ def _secret(t: str, j: int) -> Span | None:
     j += 1
     while j < n and t[j] in " \t\"'>":
         j += 1
-    i = j
-    while j < n and t[j] in SECRET and j - i < 512:
-        j += 1
-    while j > i and t[j - 1] in ".!":
-        j -= 1
-    if j - i < 8 or not any(c in DIGITS for c in t[i:j]):
+    stop, digit = values.at(j)
+    if stop - j < 8 or digit < j:
         return None
-    return "secret", i, j
+    return "secret", j, stop
 
 
 def _account(t: str, j: int) -> Span | None:
@@ -254,23 +275,18 @@ def _account(t: str, j: int) -> Span | None:
     return ("account", i, j) if digits >= 5 and j - i >= 6 and _free(t, i, j) else None
 
 
-def _url(t: str, at: int) -> Span | None:
+def _url(t: str, at: int, addresses: Runs) -> Span | None:
     """An address that names a person: user information before the host, or a user's page."""
     i = at
     while i > 0 and t[i - 1] in LETTERS and at - i < 16:
         i -= 1
-    j = at + 3
-    while j < len(t) and t[j] in URL and j - at < 2048:
-        j += 1
-    while j > at + 3 and t[j - 1] in ".,;:!?)]'":
-        j -= 1
-    rest = t[at + 3 : j]
-    authority = rest.split("/", 1)[0].split("?", 1)[0].split("#", 1)[0]
+    j, personal = addresses.at(at + 3)
+    authority = _authority.match(t, at + 3, j).group()
     user, sign, host = authority.rpartition("@")
     host = host.split(":", 1)[0]
     if i == at or not (_host(host) or (_ip(host, 0) or ("", 0, -1))[2] == len(host)):
         return None
-    if sign and user or any(x in rest.lower() for x in ("/~", "/@", "/user/", "/users/", "email=", "user=", "account=", "token=", "password=")):
+    if sign and user or personal >= at + 3:
         return "address", i, j
     return None
 
@@ -280,6 +296,7 @@ def find(text: str, a: ahocorasick.Automaton) -> list[Span]:
     out: list[Span] = []
     done = -1
     digits_until = -1
+    values, addresses = Runs(text, SECRET, ".!", tuple("0123456789")), Runs(text, URL, ".,;:!?)]'", PERSONAL)
     for end, (kind, width) in a.iter(text):
         start = end - width + 1
         if kind == "number":
@@ -307,13 +324,13 @@ def find(text: str, a: ahocorasick.Automaton) -> list[Span]:
                 j += 1
             s = ("secret", start, j) if j - start == 20 and _free(text, start, j) else None
         elif kind == "secret":
-            s = _secret(text, end + 1)
+            s = _secret(text, end + 1, values)
         elif kind == "account":
             s = _account(text, end + 1)
         elif kind == "mailto":
             s = None  # the at-sign that follows is an anchor of its own
         else:
-            s = _url(text, start)
+            s = _url(text, start, addresses)
         if s is not None:
             while out and out[-1][1] >= s[1] and out[-1][2] <= s[2]:
                 out.pop()  # what the new span contains

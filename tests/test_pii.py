@@ -1,0 +1,42 @@
+import time
+
+from lexigrid.llm import pii as P
+
+A = P.automaton()
+
+
+def found(text):
+    return [(kind, text[i:j]) for kind, i, j in P.find(text, A)]
+
+
+def test_a_long_secret_is_whole(spark):
+    value = "eyJ0eXAi" + "aB3_-" * 400
+    assert found(f"token={value}. And more") == [("secret", value)]
+    df = spark.createDataFrame([(1, f"token={value} end")], "doc_id long, text string")
+    assert P.redact(df).first()["text"] == "token=<secret> end"
+    assert found("token=" + "x" * 600 + "1") == [("secret", "x" * 600 + "1")]
+    assert found("token=" + "x" * 600) == []
+
+
+def test_a_long_address_is_whole():
+    long = "https://www.site.example/" + "a/" * 1500 + "?email=x"
+    assert found(f"see {long}, please") == [("address", long)]
+    user = "https://" + "u" * 2500 + ":p@host.example/x"
+    assert found(user)[0] == ("address", user)
+    assert found("https://www.site.example/" + "a/" * 1500) == []
+
+
+def test_addresses_and_secrets_in_one_run():
+    assert found("http://a.example/~joe) http://b.example/c") == [("address", "http://a.example/~joe")]
+    assert found("password: short1 token = 'abcdefg1!'") == [("secret", "abcdefg1")]
+
+
+def test_long_runs_take_time_in_proportion():
+    def seconds(text):
+        began = time.process_time()
+        P.find(text, A)
+        return time.process_time() - began
+
+    for part in ("token=", "a://", "x://u:p@", "token=........"):
+        few, many = seconds(part * 5_000), seconds(part * 40_000)
+        assert many < 30 * few + 0.2, part
