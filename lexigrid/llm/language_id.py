@@ -148,7 +148,8 @@ def page_evidence(pages: DataFrame) -> DataFrame:
     html = F.col("html")
     text = F.regexp_replace(html, r"(?is)<(script|style|nav|footer)\b.*?</\1\s*>|<!--.*?-->", " ")
     text = F.regexp_replace(F.regexp_replace(text, r"<[^<>]*>", " "), r"&[#A-Za-z0-9]+;", " ")
-    declared = subtag(F.regexp_extract(html, r"(?is)^.{0,2000}?<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z_-]+)", 1))
+    # wherever the root element starts, but not in a comment
+    declared = subtag(F.regexp_extract(F.regexp_replace(html, r"(?s)<!--.*?-->", " "), r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z_-]+)", 1))
     host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
     rows = pages.select(row_key("page_id", "html").alias("k"), text.alias("text"), declared.alias("declared"), F.when(host != "", host).alias("host"))
     return rows.select("k.d", "k.h", "text", "declared", "host", F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1).alias("domain"), F.regexp_extract("host", r"\.([^.]+)$", 1).alias("suffix"))

@@ -36,3 +36,10 @@ def test_without_any_declaration_texts_with_letters_are_kept(spark, sf):
     assert {r["lang"] for r in found} == {"und"}
     kept = {r["doc_id"] for r in L.keep_identified(docs.unionByName(blank)).select("doc_id").collect()}
     assert len(kept) > 0.8 * docs.count() and -1 not in kept
+
+
+def test_the_declared_language_of_a_page_with_a_long_head(spark):
+    root = '<html class="x" lang="es-MX"><p>hola</p></html>'
+    pages = ["<!-- " + "x" * 5000 + " -->" + root, "<!DOCTYPE html [" + " " * 3000 + "]>\n" + root, '<!-- <html lang="fr"> -->' + root, "<html><p>a</p></html>", None]
+    df = spark.createDataFrame([(i, "http://a.example/", h) for i, h in enumerate(pages)], "page_id long, url string, html string")
+    assert {r["d"]: r["declared"] for r in L.page_evidence(df).collect()} == {0: "es", 1: "es", 2: "es", 3: None, 4: None}
