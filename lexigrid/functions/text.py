@@ -83,7 +83,7 @@ def html_to_markdown(html: Column) -> Column:
     for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         t = F.replace(t, F.lit(entity), F.lit(sign))
     t = F.regexp_replace(t, r"[ \t]+", " ")
-    return F.trim(F.regexp_replace(t, r" ?\n[ \n]*", "\n"))
+    return F.btrim(F.regexp_replace(t, r" ?\n[ \n]*", "\n"), F.lit(" \n"))
 
 
 def sql_html_to_markdown(html: str) -> str:
@@ -107,4 +107,4 @@ def sql_html_to_markdown(html: str) -> str:
         t = "replace({}, '{}', '{}')".format(t, entity, sign.replace("'", "''"))
     t = sub(r"[ \t]+", " ")
     t = sub(r" ?\n[ \n]*", "\n")
-    return f"trim({t}, ' ')"
+    return f"trim({t}, ' ' || chr(10))"
