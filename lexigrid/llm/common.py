@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
+STEP = 1 << 16
 GOLDEN = U64(0x9E3779B97F4A7C15)
 NO_ID = (1 << 63) - 1
 
@@ -38,6 +39,17 @@ def id_of(key_d: Column) -> Column:
     return F.when(key_d != F.lit(NO_ID), key_d)
 
 
+def repeated(df: DataFrame, times: str) -> DataFrame:
+    """Each row of ``df`` as often as its column ``times`` says (not at all below 1), without that column.
+
+    In two steps, so that no row ever holds an array of more than ``STEP`` elements.
+    """
+    m = F.col(times)
+    kept = [F.col(f"`{c}`") for c in df.columns if c != times]
+    blocks = df.where(m > 0).select(*kept, m.alias("_m"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((m - 1) / STEP))).alias("_b"))
+    return blocks.select(*kept, F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(STEP).cast("long"), F.col("_m") - F.col("_b") * STEP))).alias("_i")).select(*kept)
+
+
 def packed(docs: DataFrame) -> DataFrame:
     """``docs`` with each row whole in the struct ``r``."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"))
