@@ -7,12 +7,16 @@ A document is the set of its word 3-grams (lower case). Two collections of
 table key are candidates, and exact Jaccard similarity of their sets
 decides.
 
-Documents with equal sets are one node. A bucket's nodes are first compared
-with the bucket's least node; nodes so joined need no further comparison
-between them, and all pairs of a bucket that are still in different groups are
+Documents with equal sets are one node (two 64-bit sums over the set tell sets apart). A
+bucket's nodes are first compared with one centre of the bucket, the least node; nodes so
+joined need no further comparison between them. Buckets whose nodes are still in several
+groups get ``ROUNDS`` further centres, and what pairs of different groups are left in them are
 then compared one by one. Hence groups are exactly the connected components of
 the candidate pairs with similarity of at least ``threshold``, though large groups cost
-about one comparison a member.
+about one comparison a member. No bucket is ever held in one row: centres come from
+aggregates, and pairs from joins that Spark may split.
+
+Similarity is that of the sets of 32-bit shingle hashes.
 """
 
 from __future__ import annotations
@@ -31,9 +35,10 @@ from lexigrid.shipping import map_arrow
 from lexigrid.storage import discard, materialise
 
 THRESHOLD = 0.5
-TABLES = 10
+TABLES = 11
 HASHES = 2
 GRAM = 3
+ROUNDS = 2
 BLOCK = 1 << 20
 
 
@@ -65,11 +70,11 @@ def shingle_sets(column: pa.Array, gram: int = GRAM) -> Iterator[tuple[int, int,
         yield i, j, (x & U64(0xFFFFFFFF)).astype(np.uint32), np.searchsorted(row, np.arange(j - i + 1))
 
 
-def _fingerprint(sets: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """64-bit name of each set (rows without shingles excluded)."""
+def _fingerprint(sets: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit name of each set (rows without shingles excluded), and another one that tells sets of one name apart."""
+    n = np.diff(off).astype(U64) * GOLDEN
     x = mix(sets.astype(U64) + GOLDEN)
-    n = np.diff(off).astype(U64)
-    return mix(np.add.reduceat(x, off[:-1]) + n * GOLDEN)
+    return mix(np.add.reduceat(x, off[:-1]) + n), mix(np.add.reduceat(mix(x + GOLDEN), off[:-1]) + n)
 
 
 def _hashers(count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -104,7 +109,8 @@ def _signatures(m: int, r: int, gram: int):
                 keys = sub_keys(sets, off, m, r).reshape(len(full), -1)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, 2 * m), pa.int32()), _signed(keys.ravel()))
                 take = pa.array(full + i)
-                yield pa.RecordBatch.from_arrays([batch.column("d").take(take), batch.column("h").take(take), _signed(_fingerprint(sets, off)), lists], ["d", "h", "sid", "keys"])
+                sid, other = map(_signed, _fingerprint(sets, off))
+                yield pa.RecordBatch.from_arrays([batch.column("d").take(take), batch.column("h").take(take), sid, other, lists], ["d", "h", "sid", "other", "keys"])
 
     return run
 
@@ -126,13 +132,13 @@ def _table_keys(m: int):
 def _sets(gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, sets, off in shingle_sets(batch.column("text"), gram):
+            for i, _, sets, off in shingle_sets(batch.column("text"), gram):
                 full = np.flatnonzero(np.diff(off) > 0)
                 if len(full):
                     off = np.append(off[full], len(sets))
                     data = pa.py_buffer(np.ascontiguousarray(sets))
                     bodies = pa.Array.from_buffers(pa.large_binary(), len(full), [None, pa.py_buffer((off * 4).astype(np.int64)), data]).cast(pa.binary())
-                    yield pa.RecordBatch.from_arrays([_signed(_fingerprint(sets, off)), bodies], ["sid", "body"])
+                    yield pa.RecordBatch.from_arrays([batch.column("sid").take(pa.array(full + i)), bodies], ["sid", "body"])
 
     return run
 
@@ -162,34 +168,60 @@ def _verify(threshold: float):
 def near_groups(docs: DataFrame, threshold: float = THRESHOLD, m: int = TABLES, r: int = HASHES, gram: int = GRAM) -> DataFrame:
     """``(d, h, lead)`` of every document key with shingles that belongs to a group of two keys or more; ``lead`` is the group's least key."""
     rows = docs.select(row_key().alias("k"), "text").select("k.d", "k.h", "text")
-    signed = materialise(map_arrow(rows, _signatures(m, r, gram), "d long, h long, sid long, keys array<long>"), "sig")
-    nodes = signed.groupBy("sid").agg(F.first("keys").alias("keys"))
-    buckets = map_arrow(nodes, _table_keys(m), "bk long, sid long").groupBy("bk").agg(F.sort_array(F.collect_list("sid")).alias("s")).where("size(s) > 1")
+    signed = materialise(map_arrow(rows, _signatures(m, r, gram), "d long, h long, sid long, other long, keys array<long>"), "sig")
+    # different sets under one name (some hundred among 10^11) get names of their own
+    clash = materialise(signed.groupBy("sid").agg(F.min("other").alias("lo"), F.max("other").alias("hi")).where("lo <> hi").select("sid", "lo"), "clash")
+    if not clash.isEmpty():
+        apart = signed.join(beside(clash), "sid", "left").withColumn("sid", F.when(F.col("other") != F.col("lo"), F.xxhash64("sid", "other")).otherwise(F.col("sid")))
+        signed, before = materialise(apart.drop("lo"), "sig"), signed
+        discard(before)
+    nodes = materialise(signed.groupBy("sid").agg(F.first("keys").alias("keys"), F.min(F.struct("d", "h")).alias("k")), "nodes")
+    tables = map_arrow(nodes.select("sid", "keys"), _table_keys(m), "bk long, sid long")
+    met = tables.groupBy("bk").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("sid")).alias("x")).where("lo <> hi")
     # tables that hold the very same nodes need to be looked at once
-    buckets = materialise(buckets.select("s").distinct(), "buckets")
-    stars = materialise(buckets.select(F.col("s")[0].alias("x"), F.explode(F.slice("s", 2, 1 << 30)).alias("y")).distinct(), "stars")
+    met = materialise(met.groupBy("lo", "hi", "n", "x").agg(F.min("bk").alias("bk")).select("bk", "lo"), "met")
+    members = materialise(tables.join(beside(met, 24), "bk").select("bk", "sid", "lo"), "members")
+    stars = materialise(members.where("sid <> lo").select(F.col("lo").alias("x"), F.col("sid").alias("y")).distinct(), "stars")
 
-    need = stars.select(F.col("x").alias("sid")).unionByName(stars.select(F.col("y").alias("sid"))).distinct()
-    chosen = signed.join(need, "sid", "left_semi").groupBy("sid").agg(F.min(F.struct("d", "h")).alias("k")).select("k.d", "k.h")
-    bodies = map_arrow(rows.join(beside(materialise(chosen, "chosen")), ["d", "h"], "left_semi").select("text"), _sets(gram), "sid long, body binary")
-    bodies = materialise(bodies.dropDuplicates(["sid"]), "sets")
+    need = members.select("sid").distinct()
+    chosen = nodes.join(need, "sid", "left_semi").select("k.d", "k.h", F.col("sid"))
+    chosen = beside(materialise(chosen, "chosen"), 32)
+    # a key may repeat: one row of it gives the set
+    bodies = map_arrow(rows.join(chosen, ["d", "h"]).select("sid", "text"), _sets(gram), "sid long, body binary")
+    bodies = materialise(bodies.groupBy("sid").agg(F.first("body").alias("body")), "sets")
 
     def check(pairs: DataFrame) -> DataFrame:
         one = pairs.join(bodies.select(F.col("sid").alias("x"), F.col("body").alias("xb")), "x")
         two = one.join(bodies.select(F.col("sid").alias("y"), F.col("body").alias("yb")), "y")
-        return map_arrow(two.select("x", "y", "xb", "yb"), _verify(threshold), "x long, y long")
+        # sets whose sizes are too far apart cannot be similar enough
+        fits = F.least(F.length("xb"), F.length("yb")) >= F.lit(threshold) * F.greatest(F.length("xb"), F.length("yb"))
+        return map_arrow(two.where(fits).select("x", "y", "xb", "yb"), _verify(threshold), "x long, y long")
 
     near = materialise(check(stars), "near")
     label = materialise(connected_components(near, "x", "y"), "labels")
-    members = buckets.withColumn("b", F.monotonically_increasing_id()).select("b", F.explode("s").alias("sid"))
-    members = members.join(label.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    mixed = members.groupBy("b").agg(F.array_sort(F.collect_list(F.struct("sid", "component"))).alias("s"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    left = mixed.select(F.posexplode("s").alias("i", "e"), "s").select("e", F.explode(F.expr("slice(s, i + 2, size(s))")).alias("f"))
-    left = left.where("e.component <> f.component").select(F.col("e.sid").alias("x"), F.col("f.sid").alias("y")).distinct().join(stars, ["x", "y"], "left_anti")
-    more = materialise(check(left), "near")
-    if not more.isEmpty():
-        label = materialise(connected_components(near.unionByName(more), "x", "y"), "labels")
-    discard(stars, buckets, bodies, near, more)
+    done = stars
+    for turn in range(ROUNDS + 1):
+        # the nodes of buckets that are in several groups still
+        named = members.join(label.withColumnRenamed("node", "sid"), "sid", "left").select("bk", "sid", F.coalesce("component", "sid").alias("c"))
+        mixed = named.groupBy("bk").agg(F.min("c").alias("c_lo"), F.max("c").alias("c_hi"), F.min(F.struct(F.xxhash64("sid", F.lit(turn)), F.col("sid"), F.col("c"))).alias("e")).where("c_lo <> c_hi")
+        left = materialise(named.join(mixed.select("bk", F.col("e.sid").alias("centre"), F.col("e.c").alias("centre_c")), "bk"), "mixed")
+        if left.isEmpty():
+            discard(left)
+            break
+        if turn < ROUNDS:
+            pairs = left.where("c <> centre_c").select(F.least("sid", "centre").alias("x"), F.greatest("sid", "centre").alias("y"))
+        else:
+            one, two = left.select("bk", F.col("sid").alias("x"), F.col("c").alias("xc")), left.select("bk", F.col("sid").alias("y"), F.col("c").alias("yc"))
+            pairs = one.join(two, "bk").where("x < y AND xc <> yc").select("x", "y")
+        pairs = materialise(pairs.distinct().join(done, ["x", "y"], "left_anti"), "stars")
+        more = materialise(check(pairs), "near")
+        done = done.unionByName(pairs)
+        discard(left)
+        if not more.isEmpty():
+            near = near.unionByName(more)
+            discard(label)
+            label = materialise(connected_components(near, "x", "y"), "labels")
+    discard(clash, nodes, met, members, stars, bodies, near)
 
     named = signed.select("d", "h", "sid").join(label.withColumnRenamed("node", "sid"), "sid", "left")
     named = named.select("d", "h", F.coalesce("component", "sid").alias("c")).distinct()
@@ -203,7 +235,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, m: int = TABL
     The first one is the least key of the group (doc_id ascending, null last).
     Documents outside any group, and those whose text is null or has no words,
     do not appear. Rows that repeat doc_id and text are one document. Blanks
-    are the bytes up to U+0020; case does not matter. An empty table gives no rows.
+    are the bytes up to U+0020; case does not matter. An empty table gives no rows. Long texts count
+    whole; of extra columns none is read. A pair at the very threshold shares a
+    table with probability 0.917, at 0.6 with 0.98.
     """
     g = near_groups(docs, threshold, m, r, gram).where("d <> lead.d OR h <> lead.h")
     return g.select(id_of(F.col("d")).alias("doc_id"), id_of(F.col("lead.d")).alias("near_copy_of"))
@@ -212,7 +246,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, m: int = TABL
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, m: int = TABLES, r: int = HASHES, gram: int = GRAM) -> DataFrame:
     """``docs`` without all but the first document of each group; all columns stay.
 
-    Of rows that repeat doc_id and text every one stays or goes with its document.
+    Of rows that repeat doc_id and text every one stays or goes with its document. Texts that are null, empty or
+    without words stay, as does a null doc_id whose text is nobody's copy; an empty table stays empty. Extra columns
+    are carried, whatever their names.
     """
     gone = materialise(near_groups(docs, threshold, m, r, gram).where("d <> lead.d OR h <> lead.h").select("d", "h"), "gone")
     gone = beside(gone)
