@@ -3,7 +3,7 @@
 Two lines within one edit of each other have a deletion variant in common: the
 line itself or the line with one character taken out. All variants of a line go out
 as 64-bit keys, keys that different lines share bring the lines together, and
-the edit distance of the texts decides. Every occurrence of a line but the
+the texts, compared without the characters in question, decide. Every occurrence of a line but the
 earliest one of the line, or of a line within the bound of it, is dropped.
 
 Variants are emitted for lines that can have a partner at all: one edit
@@ -24,13 +24,16 @@ from lexigrid.llm.common import GOLDEN, U64, beside, mix, packed, row_key, unpac
 from lexigrid.shipping import map_arrow
 from lexigrid.storage import discard, materialise
 
+#: The edit bound is one for lines of so many characters, and none below: an edit in a short line makes it another one ("Chapter 1", "Chapter 2").
 MIN_CHARS = 24
+#: Variants made at once.
 VARIANTS = 1 << 17
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """``(d, h, at, line)`` of each line that is not blank, trimmed of spaces, tabs and carriage returns."""
-    rows = docs.select(row_key().alias("k"), F.posexplode(F.split(F.col("text"), "\n")).alias("at", "line"))
+    # the key first: beside the generator it would hash the whole text once for each line
+    rows = docs.select(row_key().alias("k"), F.split(F.col("text"), "\n").alias("lines")).select("k", F.posexplode("lines").alias("at", "line"))
     return rows.select("k.d", "k.h", "at", F.expr("trim(BOTH ' \t\r' FROM line)").alias("line")).where("line <> ''")
 
 
@@ -50,10 +53,48 @@ def _halves(line: Column, n: Column) -> Column:
     return F.array(*keys)
 
 
+def _keys(line: str, base: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys of the line and of each of its variants, and which character is out (-1: none), ``VARIANTS`` at a time.
+
+    The hash of c0..cn-1 is the sum of ci * base^i; what follows a deletion moves one place down.
+    """
+    text = np.frombuffer(line.encode("utf-32-le"), np.uint32)
+    n = len(text)
+
+    def parts() -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Characters from a place on, with base^i for each and the one after the last."""
+        first = np.ones(1, U64)
+        for s in range(0, n, VARIANTS):
+            code = mix(text[s : s + VARIANTS].astype(U64) + GOLDEN)
+            power = np.full(len(code) + 1, base, dtype=U64)
+            power[:1] = first
+            np.multiply.accumulate(power, out=power)
+            first = power[-1:]
+            yield s, code, power
+
+    inverse = U64(pow(base, -1, 1 << 64))
+    total, later = np.zeros(1, U64), np.zeros(1, U64)
+    for _, code, power in parts():
+        total += np.sum(code * power[:-1], dtype=U64)
+    for s, code, power in parts():
+        later += np.sum((code * power[:-1])[1 if s == 0 else 0 :] * inverse, dtype=U64)
+    yield mix(total + np.full(1, n, U64) * GOLDEN), np.full(1, -1, np.int32)
+    before = np.zeros(1, U64)
+    after = later
+    for s, code, power in parts():
+        value = code * power[:-1]
+        head = before + (np.cumsum(value) - value)
+        moved = value * inverse
+        if s == 0:
+            moved[0] = 0
+        rest = after - np.cumsum(moved)
+        before, after = before + np.sum(value, dtype=U64), rest[-1:]
+        yield mix(head + rest + np.full(1, n - 1, U64) * GOLDEN), np.arange(s, s + len(code), dtype=np.int32)
+
+
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``(vk, at, a, b)``: the key of each variant, and which character is out (-1: none)."""
-    rng = np.random.default_rng(600_613)
-    base = int(rng.integers(1 << 62, 1 << 63)) | 1
+    base = int(np.random.default_rng(600_613).integers(1 << 62, 1 << 63)) | 1
     pieces: list[tuple[np.ndarray, np.ndarray, int, int]] = []
     held = 0
 
@@ -65,21 +106,12 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for line, a, b in zip(batch.column("line").to_pylist(), batch.column("a").to_pylist(), batch.column("b").to_pylist()):
-            code = mix(np.frombuffer(line.encode("utf-32-le"), np.uint32).astype(U64) + GOLDEN)
-            n = len(code)
-            power = np.full(n + 1, base, dtype=U64)
-            power[0] = 1
-            np.multiply.accumulate(power, out=power)
-            # hash of c0..cn-1 = sum of ci * base^i; what follows a deletion moves one place down
-            whole = np.concatenate((np.zeros(1, U64), np.cumsum(code * power[:n])))
-            later = code[1:] * power[: n - 1]
-            rest = np.concatenate((np.cumsum(later[::-1])[::-1], np.zeros(1, U64)))
-            v = np.concatenate((whole[-1:] + np.full(1, n, U64) * GOLDEN, whole[:-1] + rest + np.full(1, n - 1, U64) * GOLDEN))
-            pieces.append((mix(v), np.arange(-1, n, dtype=np.int32), a, b))
-            held += n + 1
-            if held > VARIANTS:
-                yield out()
-                held = 0
+            for keys, out_at in _keys(line, base):
+                pieces.append((keys, out_at, a, b))
+                held += len(keys)
+                if held > VARIANTS:
+                    yield out()
+                    held = 0
     if pieces:
         yield out()
 
@@ -101,19 +133,23 @@ def line_drops(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     # the earliest occurrence of each chosen line gives its text
     texts = lines.where(F.length("line") >= min_chars).join(beside(chosen.select("first.d", "first.h", "first.at", "a", "b"), 96), ["d", "h", "at"]).select("a", "b", "line").dropDuplicates(["a", "b"])
     texts = materialise(texts, "texts")
+    # lines that share a variant are the variant with one character put in: their number has a bound, and so have the sets
     variants = map_arrow(texts, _variants, "vk long, at int, a long, b long")
     met = variants.groupBy("vk").agg(F.collect_set(F.struct("a", "b", "at")).alias("m")).where("size(m) > 1")
     met = materialise(met.select("vk", F.explode("m").alias("m")).select("vk", "m.a", "m.b", "m.at").join(chosen, ["a", "b"]).select("vk", "at", "a", "b", "first"), "met")
     # a substitution leaves the same variant at the same place: the earliest of them serves all others
     least = met.where("at >= 0").groupBy("vk", "at").agg(F.min(F.struct("first", "a", "b")).alias("e"))
-    swaps = met.join(least, ["vk", "at"]).where("first > e.first").select("a", "b", F.col("e.a").alias("ea"), F.col("e.b").alias("eb"))
+    swaps = met.join(least, ["vk", "at"]).where("first > e.first").select("a", "b", F.col("e.a").alias("ea"), F.col("e.b").alias("eb"), "at", F.lit(0).alias("longer"))
     # an insertion: one line is the other's variant
     short = met.where("at < 0").select("vk", F.col("a").alias("sa"), F.col("b").alias("sb"), F.col("first").alias("sf"))
     inserts = met.where("at >= 0").join(short, "vk")
-    later = inserts.select(F.when(F.col("first") > F.col("sf"), F.struct("a", "b", F.col("sa").alias("ea"), F.col("sb").alias("eb"))).otherwise(F.struct(F.col("sa").alias("a"), F.col("sb").alias("b"), F.col("a").alias("ea"), F.col("b").alias("eb"))).alias("p")).select("p.*")
+    later = inserts.select(F.when(F.col("first") > F.col("sf"), F.struct("a", "b", F.col("sa").alias("ea"), F.col("sb").alias("eb"), "at", F.lit(1).alias("longer"))).otherwise(F.struct(F.col("sa").alias("a"), F.col("sb").alias("b"), F.col("a").alias("ea"), F.col("b").alias("eb"), "at", F.lit(2).alias("longer"))).alias("p")).select("p.*")
     pairs = swaps.unionByName(later).where("a <> ea OR b <> eb").distinct()
     pairs = pairs.join(texts, ["a", "b"]).join(texts.select(F.col("a").alias("ea"), F.col("b").alias("eb"), F.col("line").alias("earlier")), ["ea", "eb"])
-    near = materialise(pairs.where(F.expr("levenshtein(line, earlier, 1) BETWEEN 0 AND 1")).select("a", "b").distinct(), "near")
+    # where the edit is, is known: the texts without that character are compared, in time that follows their length
+    one, two = F.expr("concat(substring(line, 1, at), substring(line, at + 2))"), F.expr("concat(substring(earlier, 1, at), substring(earlier, at + 2))")
+    same = F.when(F.col("longer") == 2, F.col("line")).otherwise(one) == F.when(F.col("longer") == 1, F.col("earlier")).otherwise(two)
+    near = materialise(pairs.where(same).select("a", "b").distinct(), "near")
     discard(known, chosen, texts, met)
 
     # equal lines: all occurrences but the earliest; lines near an earlier one: all occurrences
@@ -133,13 +169,18 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     lesser document key (doc_id ascending, null last, then the hash of the text), then a lesser line number.
     Blank lines stay. A document goes when it had a line that is not blank
     and all of those are dropped; null, empty and blank texts stay as they are. Rows
-    that repeat doc_id and text are one document and fare alike.
+    that repeat doc_id and text are one document and fare alike. Time follows the number of lines and
+    of characters, however many one document has. Extra columns are carried, whatever their names; an
+    empty table stays empty. Lines are told apart by two 64-bit hashes.
     """
     gone = line_drops(docs, min_chars).groupBy("d", "h").agg(F.collect_set("at").alias("gone"))
     rows = packed(docs).withColumn("k", row_key(F.col("r.doc_id"), F.col("r.text")))
     rows = rows.join(gone, (F.col("k.d") == gone.d) & (F.col("k.h") == gone.h), "left").select("r", "gone")
-    kept = F.filter(F.split(F.col("r.text"), "\n"), lambda x, i: ~F.array_contains(F.col("gone"), i))
-    rows = rows.withColumn("kept", F.when(F.col("gone").isNotNull(), kept))
+    # by hashing: looking each line up in the list of dropped ones would take the square of a document's lines
+    # the generator keeps Catalyst from putting the split into the lambda, when it pushes the filter down
+    rows = rows.select("r", "gone", F.explode(F.array(F.when(F.col("gone").isNotNull(), F.split(F.col("r.text"), "\n")))).alias("lines"))
+    rows = rows.withColumn("stay", F.when(F.col("gone").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")))
+    rows = rows.withColumn("kept", F.transform("stay", lambda i: F.get(F.col("lines"), i)))
     rows = rows.where(F.col("gone").isNull() | F.exists("kept", lambda x: F.trim(F.translate(x, "\t\r", "  ")) != ""))
     text = F.when(F.col("kept").isNull(), F.col("r.text")).otherwise(F.array_join("kept", "\n"))
     cols = []
