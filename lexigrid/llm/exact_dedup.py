@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrid.llm.common import beside, id_of, row_key
+from lexigrid.llm.common import beside, id_of, repeated, row_key
 from lexigrid.storage import discard, materialise
 
 FIRST = 48
@@ -61,14 +61,13 @@ def exact_duplicates(docs: DataFrame, first: int = FIRST, widen: int = WIDEN) ->
     last), ``copies`` the number of rows with that very text. Documents with a
     text of their own do not appear. A null text equals nothing; empty texts
     equal each other. Rows repeated with the same doc_id: the surplus ones
-    appear as copies of that doc_id. An empty table gives no rows.
+    appear as copies of that doc_id. An empty table gives no rows. Texts of any length are compared whole, in rounds; of extra columns none is read.
     """
     g = radix_groups(docs, first, widen)
     # rows that repeat the lead's key come as often as they are there; one of them is the one that stays
     counted = g.groupBy("key", "lead", "size").agg(F.count(F.lit(1)).alias("m"))
     counted = counted.withColumn("m", F.when(F.col("key") == F.col("lead"), F.col("m") - 1).otherwise(F.col("m"))).where("m > 0")
-    each = counted.select(id_of(F.col("key.d")).alias("doc_id"), id_of(F.col("lead.d")).alias("copy_of"), F.col("size").alias("copies"), F.explode(F.sequence(F.lit(1), F.col("m").cast("int"))).alias("i"))
-    return each.select("doc_id", "copy_of", "copies")
+    return repeated(counted.select(id_of(F.col("key.d")).alias("doc_id"), id_of(F.col("lead.d")).alias("copy_of"), F.col("size").alias("copies"), "m"), "m")
 
 
 SQL = """
