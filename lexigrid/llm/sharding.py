@@ -18,6 +18,8 @@ from lexigrid.llm.common import packed
 
 SHARDS = 64
 SLOTS = 16381
+#: Rows of a shard are spread over so many partitions for each partition that the session gives a shuffle, and one at least.
+SPREAD = 4
 
 
 def _prime(n: int) -> bool:
@@ -46,8 +48,12 @@ def lookup_table(names: list[str], slots: int = SLOTS) -> list[int]:
     return table
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, key: str = "doc_id", spread: bool = True) -> DataFrame:
-    """Rows of ``docs`` with ``slot`` and ``shard``; with ``spread``, each shard is one partition.
+def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, key: str = "doc_id", spread: int | None = None) -> DataFrame:
+    """Rows of ``docs`` with ``slot`` and ``shard``; every partition holds rows of one shard.
+
+    ``spread`` says over how many partitions a shard goes, by the hash of the row; 0 leaves rows where they are. Where it is not given,
+    shards share four times ``spark.sql.shuffle.partitions`` among them. So a shard's size,
+    be it that of a hot key, is not a task's.
 
     The slot is the first 8 hexadecimal digits of the key's MD5 (of the empty
     string where the key is null) modulo ``slots``: rows alike in the key
@@ -63,8 +69,11 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, k
     rows = rows.select("r", F.pmod(F.conv(F.substring(F.md5("k"), 1, 8), 16, 10).cast("long"), F.lit(slots)).alias("s"))
     # the table holds ``slots`` rows whatever the data, hence the plain broadcast
     placed = rows.join(F.broadcast(owners), "s")
+    if spread is None:
+        spread = max(1, SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions")) // shards)
     if spread:
-        placed = placed.repartitionById(shards, F.col("o"))
+        salt = F.pmod(F.xxhash64("r"), F.lit(spread)).cast("int") if spread > 1 else F.lit(0)
+        placed = placed.repartitionById(shards * spread, F.col("o") * F.lit(spread) + salt)
     return placed.select("r.*", F.col("s").alias("slot"), F.col("o").alias("shard"))
 
 
