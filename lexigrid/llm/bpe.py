@@ -4,8 +4,10 @@ A pre-token is a linked list of parts. Every adjacent pair that the vocabulary
 can merge puts its position into the bucket of its merge rank; a hierarchical
 bitmap marks the buckets that are not empty, so find-first-set gives the least
 rank. A popped position whose pair has another rank by now is stale and is
-skipped. Each merge adds two entries at most: the work is linear in the length
-of the pre-token, however long, and equal ranks merge from left to right.
+skipped. Each merge adds two entries at most, so a pre-token of n bytes takes some n queue
+operations, however long it is. Equal ranks merge from left to right: within a
+bucket positions are taken in order, from one bitmap in short pre-tokens, and in those over ``DENSE`` bytes from the
+same hierarchy of bitmaps over positions, of 256 to a leaf, made for the bucket when it is first used.
 
 Texts are cut into pre-tokens by the public pattern of the vocabulary; the
 pieces found so far are kept within a worker.
@@ -15,7 +17,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from array import array
 from collections.abc import Iterator
 
@@ -40,13 +41,45 @@ def load_ranks(path: str = VOCABULARY) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+class _Places:
+    """A set of positions that gives its least one: bits in leaves of 256, under levels that mark the leaves in use."""
+
+    __slots__ = ("levels",)
+
+    def __init__(self, depth: int) -> None:
+        self.levels: list[dict[int, int]] = [{} for _ in range(depth)]
+
+    def add(self, at: int) -> None:
+        for level in self.levels:
+            bit, at = at & 255, at >> 8
+            held = level.get(at, 0)
+            level[at] = held | _BIT[bit]
+            if held:
+                return
+
+    def pop(self) -> tuple[int, bool]:
+        """The least position, and whether it was the last one."""
+        at = 0
+        for level in reversed(self.levels):
+            held = level[at]
+            at = (at << 8) + (held & -held).bit_length() - 1
+        place = at
+        for level in self.levels:
+            bit, at = at & 255, at >> 8
+            held = level[at] ^ _BIT[bit]
+            if held:
+                level[at] = held
+                return place, False
+            del level[at]
+        return place, True
+
+
 class Merger:
     """A vocabulary's merges, and the rank queue that orders them.
 
     The queue is a bitmap of three levels: ``top`` marks the leaves in use, a leaf the buckets (ranks) in
-    use, a bucket the positions in it. Pieces of more than ``DENSE`` bytes hold positions in heaps
-    instead of bits, so that a bucket's size follows what is in it. The queue is
-    empty between pieces and is used again.
+    use, a bucket the positions in it. In pieces of more than ``DENSE`` bytes a bucket is a ``_Places``, so that
+    its size follows what is in it. The queue is empty between pieces and is used again.
     """
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
@@ -138,16 +171,20 @@ class Merger:
         merged, leaves = self.merged, self.leaves
         n = len(part)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heaps: dict[int, list[int]] = {}
+        buckets: dict[int, _Places] = {}
+        depth = 1
+        while 256**depth < n:
+            depth += 1
         top = 0
 
         def push(rank: int, position: int) -> None:
             nonlocal top
-            heap = heaps.get(rank)
-            if heap:
-                heapq.heappush(heap, position)
+            bucket = buckets.get(rank)
+            if bucket is not None:
+                bucket.add(position)
             else:
-                heaps[rank] = [position]
+                buckets[rank] = bucket = _Places(depth)
+                bucket.add(position)
                 leaves[rank >> 8] |= _BIT[rank & 255]
                 top |= 1 << (rank >> 8)
 
@@ -160,9 +197,9 @@ class Merger:
             leaf = leaves[hi]
             low = leaf & -leaf
             rank = (hi << 8) + low.bit_length() - 1
-            heap = heaps[rank]
-            i = heapq.heappop(heap)
-            if not heap:
+            i, last = buckets[rank].pop()
+            if last:
+                del buckets[rank]
                 leaves[hi] = leaf ^ low
                 if not leaves[hi]:
                     top ^= 1 << hi
@@ -189,15 +226,24 @@ def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class _Pieces(dict):
-    """Pre-token to the bytes of its ids (32-bit, little-endian); filled as they are met."""
+    """Pre-token to the bytes of its ids (32-bit, little-endian); filled as they are met.
+
+    Two generations of ``CACHED`` / 2: when the young one is full it becomes the old one, and what is met again comes back.
+    """
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         super().__init__()
         self.encode = Merger(ranks).encode
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = array("i", self.encode(piece.encode("utf-8", "surrogatepass"))).tobytes()
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = array("i", self.encode(piece.encode("utf-8", "surrogatepass"))).tobytes()
         if len(piece) <= 64:
+            if len(self) >= CACHED // 2:
+                self.old = dict(self)
+                self.clear()
             self[piece] = ids
         return ids
 
@@ -210,6 +256,10 @@ _find = regex.compile(PATTERN).findall
 
 
 def decode_ids(ids: list[int], tokens: list[bytes]) -> bytes:
+    """The bytes of the ids; an id that is null, negative, too large or nobody's is a ``ValueError``."""
+    for i in ids:
+        if i is None or not 0 <= i < len(tokens) or not tokens[i]:
+            raise ValueError(f"no token has the id {i}")
     return b"".join(map(tokens.__getitem__, ids))
 
 
@@ -245,12 +295,10 @@ def _encoder(shared, name: str, verify: bool):
                     bodies.append(None)
                     exact.append(None)
                     continue
-                if len(pieces) > CACHED:
-                    pieces.clear()
                 body = encode_text(text, pieces)
                 bodies.append(body)
                 if verify:
-                    exact.append(decode_ids(np.frombuffer(body, "<i4").tolist(), tokens) == text.encode())
+                    exact.append(b"".join(map(tokens.__getitem__, memoryview(body).cast("i"))) == text.encode())
             out = [batch.column("doc_id"), _lists(bodies), pa.array([None if b is None else len(b) // 4 for b in bodies], pa.int32())]
             names = ["doc_id", "token_ids", "n_tokens"]
             if verify:
@@ -266,8 +314,8 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, verify: bool = True) -
 
     With ``verify`` every row's ids are decoded again and compared with the
     bytes of its text. A null text has null ids; an empty one has none, and
-    ``n_tokens`` 0. Row order, ids and repeats do not matter; an empty table
-    gives an empty table. The vocabulary is read on the driver and broadcast;
+    ``n_tokens`` 0. Row order, null ids and repeats do not matter; an empty table
+    gives an empty table. Texts and pre-tokens of any length are encoded whole; of extra columns none is read. The vocabulary is read on the driver and broadcast;
     its size does not depend on the data.
     """
     ranks = load_ranks(vocabulary)
@@ -278,7 +326,11 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, verify: bool = True) -
 
 
 def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """``(doc_id, text)`` of ``(doc_id, token_ids)``; null ids give a null text, ids out of range are an error."""
+    """``(doc_id, text)`` of ``(doc_id, token_ids)``; null ids give a null text, an empty list an empty one.
+
+    An id that is null, negative or not in the vocabulary is an error. Bytes that are no UTF-8 become
+    replacement signs. Repeated rows repeat, extra columns are not read, an empty table gives an empty one.
+    """
     shared = encoded.sparkSession.sparkContext.broadcast(load_ranks(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
