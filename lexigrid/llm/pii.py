@@ -34,6 +34,7 @@ SCHEMES = ("://", "mailto:")
 #: What shows that an address names a person, behind its scheme.
 PERSONAL = ("/~", "/@", "/user/", "/users/", "email=", "user=", "account=", "token=", "password=")
 _authority = re.compile("[^/?#]*")
+_lead = re.compile(r"(?:[ \t:#=.,\-]|\b(?:numbers?|no|nr|num|id|is|was|code|with|the|of|for|my|your|our|his|her|their|following|holder|customer|user|bank)\b)*+", re.IGNORECASE)
 
 Span = tuple[str, int, int]
 
@@ -58,17 +59,25 @@ class Runs:
         return max(i, self.stop), self.mark
 
 
+#: Small letters for capital ones, sign by sign, so that places stay.
+_small = {ord(c): ord(c.lower()) for c in UPPER}
+
+
+def small(text: str) -> str:
+    return text.lower() if text.isascii() else text.translate(_small)
+
+
 def automaton() -> ahocorasick.Automaton:
+    """The anchors, in small letters: cues count in any case."""
     a = ahocorasick.Automaton()
     a.add_word("@", ("email", 1))
-    a.add_word("AKIA", ("key", 4))
+    a.add_word("akia", ("key", 4))
     a.add_word("+", ("phone", 1))
     for d in "0123456789":
         a.add_word(d, ("number", 1))
     for words, kind in ((SCHEMES[:1], "url"), (SCHEMES[1:], "mailto"), (CUES, "secret"), (ACCOUNTS, "account")):
         for w in words:
-            for form in {w, w.upper(), w.capitalize()}:
-                a.add_word(form, (kind, len(w)))
+            a.add_word(w, (kind, len(w)))
     a.make_automaton()
     return a
 
@@ -97,13 +106,17 @@ def _host(name: str) -> bool:
 
 def _email(t: str, at: int) -> Span | None:
     i = at
-    while i > 0 and t[i - 1] in MAIL_LOCAL and at - i < 64:
+    while i > 0 and t[i - 1] in MAIL_LOCAL:
         i -= 1
+        if at - i > 64:
+            return None  # longer than any mailbox name: no part of it is one
     while i < at and t[i] in ".-+%":
         i += 1
     j = at + 1
     while j < len(t) and t[j] in DOMAIN and j - at < 255:
         j += 1
+    if j < len(t) and t[j] in DOMAIN:
+        return None
     while j > at + 1 and not _host(t[at + 1 : j]):
         # the domain gives back its last label: "a@b.example.Then" keeps what is valid
         k = max(t.rfind(".", at + 1, j), t.rfind("-", at + 1, j))
@@ -240,24 +253,28 @@ def _number(t: str, i: int) -> Span | None:
     return _phone(t, i - 1 if i and t[i - 1] == "(" else i)
 
 
-def _secret(t: str, j: int, values: Runs) -> Span | None:
-    """After the cue: a separator, maybe quotes, and a value of 8 characters or more with a digit in it."""
+def _secret(t: str, start: int, j: int, values: Runs) -> Span | None:
+    """After the cue: a separator, maybe quotes, and a value of 8 characters or more with a digit in it; what is assigned to a password, by an equals sign or in quotes, needs no digit."""
     n = len(t)
+    password = t[start] in "pP"
     while j < n and t[j] in " \t\"'":
         j += 1
     if j >= n or t[j] not in "=:":
         return None
+    sign = j
     j += 1
     while j < n and t[j] in " \t\"'>":
         j += 1
     stop, digit = values.at(j)
-    if stop - j < 8 or digit < j:
+    assigned = password and (t[sign] == "=" or t[j - 1] in "\"'")
+    if stop - j < 8 or digit < j and not assigned:
         return None
     return "secret", j, stop
 
 
 def _account(t: str, j: int) -> Span | None:
-    """After the cue: up to three short words or signs, then 6 to 34 letters and digits with at least 5 digits."""
+    """After the cue: words that lead to a number, however many, and 16 further signs at most, then 6 to 34 letters and digits with at least 5 digits."""
+    j = _lead.match(t, j).end()
     n, stop = len(t), j + 16
     while j < n and j < stop and t[j] not in DIGITS:
         if t[j] == "\n":
@@ -278,8 +295,10 @@ def _account(t: str, j: int) -> Span | None:
 def _url(t: str, at: int, addresses: Runs) -> Span | None:
     """An address that names a person: user information before the host, or a user's page."""
     i = at
-    while i > 0 and t[i - 1] in LETTERS and at - i < 16:
+    while i > 0 and t[i - 1] in LETTERS and at - i <= 16:
         i -= 1
+    if at - i > 16:
+        return None
     j, personal = addresses.at(at + 3)
     authority = _authority.match(t, at + 3, j).group()
     user, sign, host = authority.rpartition("@")
@@ -297,7 +316,7 @@ def find(text: str, a: ahocorasick.Automaton) -> list[Span]:
     done = -1
     digits_until = -1
     values, addresses = Runs(text, SECRET, ".!", tuple("0123456789")), Runs(text, URL, ".,;:!?)]'", PERSONAL)
-    for end, (kind, width) in a.iter(text):
+    for end, (kind, width) in a.iter(small(text)):
         start = end - width + 1
         if kind == "number":
             if start < digits_until or start < done:
@@ -319,12 +338,14 @@ def find(text: str, a: ahocorasick.Automaton) -> list[Span]:
         elif kind == "phone":
             s = _phone(text, start)
         elif kind == "key":
+            if text[start : end + 1] != "AKIA":
+                continue
             j = end + 1
             while j < len(text) and (text[j] in UPPER or text[j] in DIGITS):
                 j += 1
             s = ("secret", start, j) if j - start == 20 and _free(text, start, j) else None
         elif kind == "secret":
-            s = _secret(text, end + 1, values)
+            s = _secret(text, start, end + 1, values)
         elif kind == "account":
             s = _account(text, end + 1)
         elif kind == "mailto":
@@ -348,7 +369,9 @@ def find_pii(docs: DataFrame) -> DataFrame:
     """``(doc_id, kind, start, stop, value)``, one row for each span; kinds: email, address, ip_address, phone, account, secret.
 
     Offsets count characters from 0. Each row of ``docs`` gives its own spans, so
-    repeated rows repeat; null and empty texts give none.
+    repeated rows repeat; null and empty texts give none, nor does an empty table. A null ``doc_id`` stays null. Of spans that overlap
+    the earlier anchor's stays, unless another one contains it. Texts of any length are scanned whole, and
+    a span is reported whole or not at all. Extra columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -366,7 +389,11 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with each span of ``text`` replaced by its kind in angle brackets; all else stays as it is."""
+    """``docs`` with each span of ``text`` replaced by its kind in angle brackets; all else stays as it is.
+
+    Null, empty and clean texts stay, repeated rows too; an empty table stays empty. Extra columns are carried, whatever their
+    names. Time follows the length of a text, however many spans it has.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = automaton()
@@ -374,8 +401,11 @@ def redact(docs: DataFrame) -> DataFrame:
             texts = []
             for text in batch.column("r").field("text").to_pylist():
                 if text is not None:
-                    for kind, i, j in reversed(find(text, a)):
-                        text = f"{text[:i]}<{kind}>{text[j:]}"
+                    pieces, at = [], 0
+                    for kind, i, j in find(text, a):
+                        pieces += (text[at:i], f"<{kind}>")
+                        at = j
+                    text = "".join(pieces) + text[at:]
                 texts.append(text)
             r = batch.column("r")
             fields = [pa.array(texts, pa.string()) if f.name == "text" else r.field(f.name) for f in r.type]
