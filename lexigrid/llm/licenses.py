@@ -3,7 +3,8 @@
 A candidate block is a run of text around a license cue. It is compressed on
 its own and with each template as raw zstandard dictionary: the more of the
 block a template holds, the smaller the result. Templates are ranked by that
-reduction, and going down the ranks a winner must be confirmed word by word.
+reduction, measured by what they save on their own text; those that save less than half of it are no
+candidates, and the others must be confirmed word by word.
 """
 
 from __future__ import annotations
@@ -47,16 +48,32 @@ TEMPLATES: dict[str, str] = {
     "CC-BY-4.0-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "MIT-warranty": 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    "BSD-3-endorsement": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "BSD-warranty": 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+    "ISC-warranty": 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
+    "0BSD": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    "BSL-1.0": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.",
+    "BSL-1.0-notice": "Distributed under the Boost Software License, Version 1.0.",
+    "Unlicense-grant": "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "LGPL-2.1-notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "LGPL-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "AGPL-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "EPL-2.0-notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "OFL-1.1-notice": "This Font Software is licensed under the SIL Open Font License, Version 1.1.",
+    "CC-BY-SA-4.0-notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC-BY-NC-4.0-notice": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     "All-rights-reserved": "All rights reserved.",
 }
 
-_CUES = ("licen[sc]e", "copyright", "rights reserved", "public domain", "permission is hereby granted", "permission to use copy", "redistribution and use", "free software", "source code form is subject", "creative commons", "waived all")
+_CUES = ("licen[sc]e", "copyright", "rights reserved", "public domain", "permission is hereby granted", "permission to use copy", "permission is granted", "without warranty", "as is", "endorse or promote", "anyone is free", "redistribution and use", "free software", "source code form is subject", "creative commons", "waived all")
 #: Between the words of a cue stands whatever may stand between words: line breaks, comment signs.
 CUE = "|".join(c.replace(" ", r"[^\p{L}\p{N}]+") for c in _CUES)
 AROUND = 8
 SHORT = 24
-#: A short notice saves little of a block: the dictionary may even cost a few bytes. What costs more is no candidate.
-LEAST_SAVED = -0.15
+#: Of what a template saves on its own text, the share that it must save on a block. A template within the tolerance keeps some three quarters.
+LEAST_SHARE = 0.5
 TOLERANCE = 0.1
 _word = regex.compile(r"[\p{L}\p{N}]+(?:[.\-][\p{L}\p{N}]+)*")
 _cue = regex.compile(CUE, regex.IGNORECASE)
@@ -67,20 +84,37 @@ def word_spans(text: str) -> list[tuple[str, int, int]]:
     return [(m.group().lower(), m.start(), m.end()) for m in _word.finditer(text)]
 
 
+#: Literals stay as they are, so that sizes tell what was matched and not which letters are frequent.
+_PLAIN = zstandard.ZstdCompressionParameters(window_log=17, chain_log=6, hash_log=13, search_log=1, min_match=4, target_length=1, strategy=zstandard.STRATEGY_FAST)
+
+
 class Templates:
     def __init__(self, texts: dict[str, str]) -> None:
         self.words = {k: [w for w, _, _ in word_spans(t)] for k, t in texts.items()}
         self.short = {k for k, w in self.words.items() if len(w) <= SHORT}
         self.longest = max(map(len, self.words.values()))
-        self.alone = zstandard.ZstdCompressor(level=3)
-        self.given = {k: zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(" ".join(w).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for k, w in self.words.items()}
-
-    def ranked(self, block: list[str], short: bool) -> list[tuple[float, str]]:
-        """``(share of the size saved, template)`` of the short or of the long templates, best first; ties by name."""
+        self.alone = zstandard.ZstdCompressor(compression_params=_PLAIN)
+        self.given, self.most = {}, {}
+        for k, w in self.words.items():
+            own = " ".join(w).encode()
+            template = zstandard.ZstdCompressionDict(own, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            self.given[k] = zstandard.ZstdCompressor(compression_params=_PLAIN, dict_data=template)
+            self.most[k] = len(self.alone.compress(own)) - len(self.given[k].compress(own))
+
+    def ranked(self, block: list[str], short: bool) -> list[tuple[float, float, str]]:
+        """``(share of what the template can save, share of the block's size saved, template)`` of the short or of the long templates, best first; ties by name.
+
+        What saves less than ``LEAST_SHARE`` of what it can is no candidate: most of its wording is not there.
+        """
         data = " ".join(block).encode()
         plain = len(self.alone.compress(data))
-        saved = ((1 - len(self.given[k].compress(data)) / plain, k) for k in self.words if (k in self.short) == short)
-        return sorted((x for x in saved if x[0] >= LEAST_SAVED), key=lambda x: (-x[0], x[1]))
+        out = []
+        for k in self.words:
+            if (k in self.short) == short:
+                saved = plain - len(self.given[k].compress(data))
+                if saved >= LEAST_SHARE * self.most[k]:
+                    out.append((saved / self.most[k], saved / plain, k))
+        return sorted(out, key=lambda x: (-x[0], x[2]))
 
     def confirm(self, block: list[str], name: str, tolerance: float = TOLERANCE) -> tuple[int, int, int, int] | None:
         """``(missing, extra, first, last)`` of the best place of the template in the block, or None beyond the tolerance.
@@ -149,7 +183,7 @@ def scan_text(text: str, t: Templates, tolerance: float = TOLERANCE) -> list[tup
     for short in (True, False):
         for lo, hi in blocks(spans, text, (SHORT if short else t.longest) + AROUND):
             block = [w for w, _, _ in spans[lo:hi]]
-            for saved, name in t.ranked(block, short):
+            for _, saved, name in t.ranked(block, short):
                 for missing, extra, first, last in t.places(block, name, tolerance):
                     here.append((missing + extra, -len(t.words[name]), -saved, name, lo + first, lo + last, missing, extra))
     taken: list[tuple[int, int]] = []
@@ -166,7 +200,9 @@ def find_licenses(docs: DataFrame, templates: dict[str, str] | None = None, tole
 
     ``reduction`` is the share of the block's compressed size that the template saves,
     ``missing`` and ``extra`` the words in which the wording differs. Offsets
-    count characters. Null and empty texts give no rows; repeated rows repeat.
+    count characters. Null and empty texts give no rows, nor does an empty table; repeated rows repeat, and a null ``doc_id``
+    stays null. Ties between templates are settled as ``scan_text`` says. Texts of any length are scanned whole; time
+    follows their length and the number of cues. Extra columns are not read.
     """
     texts = dict(templates or TEMPLATES)
 
