@@ -144,12 +144,15 @@ def document_evidence(docs: DataFrame) -> DataFrame:
 
 
 def page_evidence(pages: DataFrame) -> DataFrame:
-    """The same of web pages: text without markup, the ``lang`` of the root element, and the parts of the address."""
+    """The same of web pages: text without markup, the ``lang`` of the root element, and the parts of the address.
+
+    An element or comment that is never closed reaches to the end of the page, so that a page is read once.
+    """
     html = F.col("html")
-    text = F.regexp_replace(html, r"(?is)<(script|style|nav|footer)\b.*?</\1\s*>|<!--.*?-->", " ")
+    text = F.regexp_replace(html, r"(?is)<(script|style|nav|footer)\b.*?(?:</\1\s*>|\z)|<!--.*?(?:-->|\z)", " ")
     text = F.regexp_replace(F.regexp_replace(text, r"<[^<>]*>", " "), r"&[#A-Za-z0-9]+;", " ")
     # wherever the root element starts, but not in a comment
-    declared = subtag(F.regexp_extract(F.regexp_replace(html, r"(?s)<!--.*?-->", " "), r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z_-]+)", 1))
+    declared = subtag(F.regexp_extract(F.regexp_replace(html, r"(?s)<!--.*?(?:-->|\z)", " "), r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z_-]+)", 1))
     host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
     rows = pages.select(row_key("page_id", "html").alias("k"), text.alias("text"), declared.alias("declared"), F.when(host != "", host).alias("host"))
     return rows.select("k.d", "k.h", "text", "declared", "host", F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1).alias("domain"), F.regexp_extract("host", r"\.([^.]+)$", 1).alias("suffix"))
@@ -175,8 +178,10 @@ def _tally(scored: DataFrame, by: list[str], width: int) -> DataFrame:
     known = scored.where(F.col("best") >= 0)
     for c in by:
         known = known.where(F.col(c).isNotNull())
-    sums = known.groupBy(*by).agg(*[F.sum((F.col("best") == i).cast("double")).alias(f"n{i}") for i in range(width)])
-    return sums.select(*by, F.array(*[F.col(f"n{i}") for i in range(width)]).alias("n"))
+    # by value and language first: one row each, however many languages there are
+    counts = known.groupBy(*by, "best").agg(F.count(F.lit(1)).cast("double").alias("c"))
+    pivot = counts.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("best", "c"))).alias("m"))
+    return pivot.select(*by, F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0))).alias("n"))
 
 
 def fuse(pool: DataFrame, model: Model, accept: float = ACCEPT) -> DataFrame:
@@ -234,7 +239,8 @@ def identify(docs: DataFrame | None = None, pages: DataFrame | None = None, acce
 
     Texts without letters, null ones among them, are ``und`` and not accepted. Null declarations,
     sources and addresses are no evidence. Ties go to the language that
-    comes first in the alphabet. Rows that repeat id and text count as often as they are there.
+    comes first in the alphabet. Rows that repeat id and text count as often as they are there, null ids stay null. Texts of any
+    length are read whole, extra columns are not read, and empty tables give no rows.
     """
     parts = []
     if docs is not None:
@@ -253,7 +259,11 @@ def identify(docs: DataFrame | None = None, pages: DataFrame | None = None, acce
 
 
 def keep_identified(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
-    """``docs`` without the rows whose language is not accepted; all columns stay as they are."""
+    """``docs`` without the rows whose language is not accepted; all columns stay as they are, whatever their names.
+
+    Texts that are null, empty or without letters go; of repeated rows all stay or none. An empty table stays empty, and without
+    any declaration all texts with letters that fit the table better than chance stay.
+    """
     pool = document_evidence(docs)
     found = fuse(pool, train(pool), accept)
     gone = materialise(found.where("NOT accepted").select("d", "h").distinct(), "rejected")
