@@ -40,6 +40,8 @@ HASHES = 2
 GRAM = 3
 ROUNDS = 2
 BLOCK = 1 << 20
+#: About so many table keys are made, and aggregated before the shuffle, by one task.
+TASK_KEYS = 1 << 20
 
 
 def shingle_sets(column: pa.Array, gram: int = GRAM) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -176,10 +178,12 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, m: int = TABLES,
         signed, before = materialise(apart.drop("lo"), "sig"), signed
         discard(before)
     nodes = materialise(signed.groupBy("sid").agg(F.first("keys").alias("keys"), F.min(F.struct("d", "h")).alias("k")), "nodes")
-    tables = map_arrow(nodes.select("sid", "keys"), _table_keys(m), "bk long, sid long")
-    met = tables.groupBy("bk").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("sid")).alias("x")).where("lo <> hi")
+    # a node is small but has m * m table keys: tasks are sized by those
+    spread = nodes.select("sid", "keys").repartition(1 + nodes.count() * m * m // TASK_KEYS, "sid")
+    tables = map_arrow(spread, _table_keys(m), "bk long, sid long")
+    met = tables.groupBy("bk").agg(F.min("sid").alias("lo"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("sid")).alias("x")).where("n > 1")
     # tables that hold the very same nodes need to be looked at once
-    met = materialise(met.groupBy("lo", "hi", "n", "x").agg(F.min("bk").alias("bk")).select("bk", "lo"), "met")
+    met = materialise(met.groupBy("lo", "n", "x").agg(F.min("bk").alias("bk")).select("bk", "lo"), "met")
     members = materialise(tables.join(beside(met, 24), "bk").select("bk", "sid", "lo"), "members")
     stars = materialise(members.where("sid <> lo").select(F.col("lo").alias("x"), F.col("sid").alias("y")).distinct(), "stars")
 
