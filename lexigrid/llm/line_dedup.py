@@ -14,6 +14,8 @@ halves (cut for either length) nobody shares have none. This loses no pair.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,10 @@ def _lines(docs: DataFrame) -> DataFrame:
     """``(d, h, at, line)`` of each line that is not blank, trimmed of spaces, tabs and carriage returns."""
     # the key first: beside the generator it would hash the whole text once for each line
     rows = docs.select(row_key().alias("k"), F.split(F.col("text"), "\n").alias("lines")).select("k", F.posexplode("lines").alias("at", "line"))
-    return rows.select("k.d", "k.h", "at", F.expr("trim(BOTH ' \t\r' FROM line)").alias("line")).where("line <> ''")
+    # trimming of given characters walks the whole line: it is for lines that have some at an end
+    line = F.col("line")
+    ends = [f(line, F.lit(c)) for f in (F.startswith, F.endswith) for c in " \t\r"]
+    return rows.select("k.d", "k.h", "at", F.when(reduce(or_, ends), F.expr("trim(BOTH ' \t\r' FROM line)")).otherwise(line).alias("line")).where("line <> ''")
 
 
 def _name(line: Column) -> Column:
