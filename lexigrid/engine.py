@@ -140,13 +140,21 @@ class Engine:
         graph_store.write(ents.join(subs.select("entity_id", F.col("community_id").cast("string").alias("community_id")), "entity_id", "left"), self.folder, "entities")
 
     def prune(self) -> None:
-        """Weak edges go, then entities that nothing links to."""
+        """Weak edges go, then entities that nothing links to, then those in components of fewer than ``min_component`` nodes without a topic, with their edges.
+
+        Documents, chunks and the edges between them stay.
+        """
         every = G.prune_edges(graph_store.read(self.spark, self.folder, "edges"), self.config.min_edge_weight)
         edges = materialise(every, "edges")
         ents = graph_store.read(self.spark, self.folder, "entities")
-        linked = edges.select(F.explode(F.array("src", "dst")).alias("entity_id")).distinct()
-        graph_store.write(ents.join(linked, "entity_id", "left_semi"), self.folder, "entities")
-        graph_store.write(edges, self.folder, "edges")
+        kinds = graph_store.read(self.spark, self.folder, "topics").select("id", "node_type").distinct()
+        linked = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct().join(kinds, "id", "left")
+        kept = materialise(G.prune_components(linked, edges, self.config.min_component).select("id"), "kept")
+        graph_store.write(ents.join(kept.withColumnRenamed("id", "entity_id"), "entity_id", "left_semi"), self.folder, "entities")
+        inner = F.coalesce(F.col("rel") == "CONTAINS", F.lit(False))
+        # both ends of an edge are in one component
+        left = edges.where(~inner).join(kept.withColumnRenamed("id", "src"), "src", "left_semi").select(*edges.columns)
+        graph_store.write(edges.where(inner).unionByName(left), self.folder, "edges")
 
     def delete(self, doc_id: str) -> None:
         """Remove a document, its chunks and their edges; entities stay."""

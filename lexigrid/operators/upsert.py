@@ -7,9 +7,29 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def merge_nodes(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Insert or overlay by ``key``: a property that the new row lacks, or has as null, keeps its value. Rows without a key are no nodes."""
-    new = new.where(F.col(key).isNotNull()).dropDuplicates([key])
+def _holds_map(t: T.DataType) -> bool:
+    if isinstance(t, T.StructType):
+        return any(_holds_map(f.dataType) for f in t)
+    return isinstance(t, T.MapType) or isinstance(t, T.ArrayType) and _holds_map(t.elementType)
+
+
+def last_of_each(df: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """One row for each ``key``: the one that is last by ``order``; of equals, and without an order, the one that a hash over all columns puts last.
+
+    So the row does not depend on how ``df`` is partitioned.
+    """
+    cols = [F.col(f"`{c}`") for c in df.columns]
+    hashed = F.xxhash64(*[F.to_json(F.struct(c)) if _holds_map(f.dataType) else c for c, f in zip(cols, df.schema)])
+    rank = F.struct(F.col(order), hashed) if order else hashed
+    return df.groupBy(F.col(key).alias("_key")).agg(F.max_by(F.struct(*cols), rank).alias("r")).select("r.*")
+
+
+def merge_nodes(old: DataFrame, new: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """Insert or overlay by ``key``: a property that the new row lacks, or has as null, keeps its value. Rows without a key are no nodes.
+
+    Of new rows with one key the last by ``order`` counts (``last_of_each``).
+    """
+    new = last_of_each(new.where(F.col(key).isNotNull()), key, order)
     names = [key] + [c for c in dict.fromkeys(old.columns + new.columns) if c != key]
     o, n = old.alias("o"), new.alias("n")
     cols = []
@@ -22,7 +42,7 @@ def merge_nodes(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 def merge_edges(old: DataFrame, new: DataFrame, nodes: DataFrame, key: str = "id") -> DataFrame:
     """The same for edges by ``(src, rel, dst)``; a new edge without both ends among the nodes is dropped."""
     ids = nodes.select(F.col(key).alias("_id"))
-    new = new.join(ids.withColumnRenamed("_id", "src"), "src", "left_semi").join(ids.withColumnRenamed("_id", "dst"), "dst", "left_semi").dropDuplicates(["src", "rel", "dst"])
+    new = new.join(ids.withColumnRenamed("_id", "src"), "src", "left_semi").join(ids.withColumnRenamed("_id", "dst"), "dst", "left_semi")
     tag = F.struct("src", "rel", "dst")
     out = merge_nodes(old.withColumn("_k", tag), new.withColumn("_k", tag), "_k")
     return out.drop("_k")

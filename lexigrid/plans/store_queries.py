@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lexigrid.functions import vectors as V
@@ -11,7 +13,8 @@ from lexigrid.operators import upsert as U
 from lexigrid.operators.embed import embed, hashed_trigrams
 from lexigrid.plans.base import CHUNKS, DOCS, ENTITIES, RELATIONS, chunks, documents, entities, relations, table
 from lexigrid.plans.registry import query
-from lexigrid.storage import materialise
+from lexigrid.sources import graph_store
+from lexigrid.storage import materialise, shared_dir
 
 
 @query(
@@ -75,9 +78,17 @@ def delete_document(spark, d):
     return U.delete_document(F.lit("7"), docs, own, lexical_edges(docs, own))[2].select("src", "dst")
 
 
-@query("clean_graph", "SELECT doc_id FROM documents WHERE false")
+@query("clean_graph", f"WITH {DOCS}, {CHUNKS} SELECT 'documents' AS name, (SELECT count(*) FROM docs) AS stored, 0::BIGINT AS left_over UNION ALL SELECT 'chunks', (SELECT count(*) FROM chunks), 0")
 def clean_graph(spark, d):
-    return table(spark, d, "documents").select("doc_id").where("false")
+    """Rows that a graph held before it was cleaned, and after."""
+    folder = f"{shared_dir(spark)}/tables/graph-{uuid.uuid4().hex}"
+    names = ("documents", "chunks")
+    for name, rows in zip(names, (documents(spark, d), chunks(spark, d))):
+        graph_store.write(rows, folder, name)
+    stored = [graph_store.read(spark, folder, n).count() for n in names]
+    graph_store.clean(spark, folder)
+    parts = [graph_store.read(spark, folder, n).agg(F.lit(n).alias("name"), F.lit(k).cast("long").alias("stored"), F.count(F.lit(1)).alias("left_over")) for n, k in zip(names, stored)]
+    return parts[0].unionByName(parts[1])
 
 
 @query(

@@ -24,29 +24,40 @@ def conform(df: DataFrame, table: str) -> DataFrame:
     return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
 
 
+def _places(spark: SparkSession, folder: str, table: str):
+    """The file system, and where a table, its next version and its former one are."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    to, new, old = (path(f"{folder}/{n}") for n in (table, f"_{table}.new", f"_{table}.old"))
+    return to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), to, new, old
+
+
+def _rename(fs, a, b) -> None:
+    if not fs.rename(a, b):
+        raise OSError(f"cannot rename {a.toString()} to {b.toString()}")
+
+
 def write(df: DataFrame, folder: str, table: str) -> None:
-    """Overwrite a table. Its next version is written beside it first, since it may be read from the old one."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    to, new, old = (jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}") for n in (table, f"_{table}.new", f"_{table}.old"))
-    fs = to.getFileSystem(conf)
+    """Overwrite a table. Its next version is written beside it first, since it may be read from the old one.
+
+    The former version goes only once the next one is in place: after a crash in between ``read`` finds it.
+    """
+    fs, to, new, old = _places(df.sparkSession, folder, table)
     fs.delete(new, True)
     conform(df, table).write.parquet(new.toString())
-    fs.delete(old, True)
     if fs.exists(to):
-        fs.rename(to, old)
-    fs.rename(new, to)
+        fs.delete(old, True)
+        _rename(fs, to, old)
+    _rename(fs, new, to)
     fs.delete(old, True)
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    """A graph table; an empty one where nothing was written yet."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(f"{folder}/{table}")
-    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
-        return spark.createDataFrame([], TABLES[table])
-    return spark.read.schema(TABLES[table]).parquet(f"{folder}/{table}")
+    """A graph table, or the former version of one whose exchange was cut short; an empty one where nothing was written yet."""
+    fs, to, _, old = _places(spark, folder, table)
+    for p in (to, old):
+        if fs.exists(p):
+            return spark.read.schema(TABLES[table]).parquet(p.toString())
+    return spark.createDataFrame([], TABLES[table])
 
 
 def clean(spark: SparkSession, folder: str) -> None:
