@@ -53,7 +53,10 @@ MAP_SHARE = 0.5
 SEGMENT = 1 << 10
 COUNT_BLOCK = 1 << 21
 SCORE_BLOCK = 1 << 21
-SORT_BLOCK = 1 << 14
+SORT_BLOCK = 1 << 17
+ODDS_BLOCK = 1 << 12
+#: Groups of more positions are not read side by side: few are as long.
+MOST_STEPS = 1 << 11
 
 F32 = np.float32
 #: Counts are held in a byte: exactly up to 64, then in steps of 12 percent.
@@ -168,133 +171,216 @@ def train(docs: DataFrame, orders: tuple[int, ...] = ORDERS) -> Tables:
     return tables
 
 
-def _odds(z: np.ndarray, o: np.ndarray, own_z, own_o, zeros, ones) -> tuple[np.ndarray, np.ndarray]:
-    """Scaled log odds, and whether anything is known, from the corpus' visits without the text's own, and the text's before."""
-    z, o = np.maximum(z - own_z, F32(0)), np.maximum(o - own_o, F32(0))
-    share = F32(LIMIT) / np.maximum(z + o, F32(LIMIT))
-    z *= share
-    o *= share
-    z += zeros
-    o += ones
-    known = z + o > 0
-    z += F32(PRIOR)
-    o += F32(PRIOR)
-    o /= z
-    np.log(o, out=o)
-    o *= F32(SCALE)
-    np.rint(o, out=o)
-    np.clip(o, F32(-127), F32(127), out=o)
-    return o.astype(np.int8), known
-
-
 _byte = np.arange(256)
-#: Node of the byte's tree at each of its bits, and the bits: as numbers, and above 16 others.
-NODES = [(1 << d) | (_byte >> (8 - d)) for d in range(8)]
-NODE_BITS = np.stack([(_byte >> (7 - d)) & 1 for d in range(8)]).astype(F32)
-BITS_HIGH = [((_byte >> (7 - d)) & 1) << 16 for d in range(8)]
+_bits = np.stack([(_byte >> (7 - d)) & 1 for d in range(8)])
+#: Nodes of the byte's tree at each of its bits; the bits; their signs, eight to a word.
+NODES = np.stack([(1 << d) | (_byte >> (8 - d)) for d in range(8)], axis=1)
+NODE_BITS = _bits.astype(F32)
+SIGNS = np.ascontiguousarray(2 * _bits.T - 1).astype(np.int8).view(U64).ravel()
 _pair = np.arange(1 << 16)
-#: What a position knows that is alone in its group: by its bit, then by the counts of the table.
-_ALONE = [_odds(DECODED[_pair & 255], DECODED[_pair >> 8], F32(1 - y), F32(y), F32(0), F32(0)) for y in (0, 1)]
-ALONE_X = np.concatenate([a[0] for a in _ALONE])
-ALONE_LEVEL = np.concatenate([a[1] for a in _ALONE]).astype(np.int8)
-LOW, HIGH = DECODED[_pair & 255], DECODED[_pair >> 8]
+#: Counts of a table's word by the bit that comes: those of the same bit, and of the other one.
+SAME = np.concatenate((DECODED[_pair & 255], DECODED[_pair >> 8]))
+OTHER = np.concatenate((DECODED[_pair >> 8], DECODED[_pair & 255]))
+BITS_HIGH = np.ascontiguousarray(_bits.T << 16)
+#: Bits of a position in a sort key beside a context and its byte.
+POSITION_BITS = 64 - HASH_BITS - 8
 
 
-def evidence(b: np.ndarray, offsets: np.ndarray, tables: Tables) -> tuple[np.ndarray, np.ndarray]:
-    """``(bytes, 8 * (orders + 1))``: for each bit the scaled log odds of a one by each order, and how many orders had been at the node before.
+def _odds(same, other, own_same, own_other, same_before, other_before) -> tuple[np.ndarray, np.ndarray]:
+    """Scaled log odds of the bit that comes, and whether anything is known, from the corpus' visits without the text's own, and the text's before.
 
-    Positions of one row and context are grouped; going down the tree each group is parted by the
-    bit, in order, so that sums over a group tell the visits before and behind each position.
+    ``same`` and ``other`` are overwritten.
     """
-    n = len(b)
-    many = len(tables.orders)
-    out = np.zeros((n, 8 * (many + 1)), np.int8)
-    hashes = contexts(b, offsets, tables.orders)
-    for i, j in runs(offsets, SORT_BLOCK):
-        lo, hi = int(offsets[i]), int(offsets[j])
-        size = hi - lo
-        if not size:
-            continue
-        row = np.repeat(np.arange(j - i, dtype=U64), np.diff(offsets[i : j + 1])) << U64(HASH_BITS)
-        pos_bits = U64(size.bit_length())
-        here = b[lo:hi]
-        x = np.zeros((8, many + 1, size), np.int8)
-        for k, h in enumerate(hashes):
-            h = h[lo:hi]
-            place = (h & tables.mask).astype(np.int64)
-            base = np.where(tables.owner[k].take(place) == h, (place + 1) << 8, 0)
-            key = ((row | h) << pos_bits) | np.arange(size, dtype=U64)
-            key.sort()
-            order = (key & ((U64(1) << pos_bits) - U64(1))).view(np.int64)
-            key >>= pos_bits
-            new = np.flatnonzero(np.concatenate((np.ones(1, bool), key[1:] != key[:-1])))
-            length = np.diff(np.append(new, size))
-            _walk(here, order, np.repeat(new, length), np.repeat(new + length, length), base, tables.counts[k], x[:, k], x[:, many])
-        out[lo:hi] = x.reshape(-1, size).T
-    return out
-
-
-def _walk(sign, order, start, stop, base, counts, x, level) -> None:
-    at = np.arange(len(order))
-    single, s_sign, s_base = order[:0], sign[:0], base[:0]
-    for d in range(8):
-        alone = stop - start == 1
-        gap = np.cumsum(alone)
-        if gap[-1:].any():
-            # nobody else of the text is at this node or below: the tables know the odds, if they know the context
-            new = order[alone]
-            its = base.take(new)
-            new, its = new[its > 0], its[its > 0]
-            single, s_base, s_sign = np.concatenate((single, new)), np.concatenate((s_base, its)), np.concatenate((s_sign, sign.take(new)))
-            keep = np.flatnonzero(~alone)
-            # groups stay together, so bounds move by the singles before them
-            start, stop = start.take(keep), stop.take(keep)
-            moved = start - gap.take(start)
-            stop += moved - start
-            start = moved
-            order = order.take(keep)
-            at = at[: len(order)]
-        if len(single):
-            code = counts.take(s_base + NODES[d].take(s_sign)).astype(np.int64)
-            code += BITS_HIGH[d].take(s_sign)
-            x[d][single] = ALONE_X.take(code)
-            level[d][single] += ALONE_LEVEL.take(code)
-        if not len(order):
-            continue
-        path = sign.take(order)
-        y = (path >> np.uint8(7 - d)) & np.uint8(1)
-        total = np.zeros(len(order) + 1, np.int64)
-        np.cumsum(y, out=total[1:])
-        c = total.take(start)
-        ones = total[:-1] - c
-        all_ones = total.take(stop)
-        all_ones -= c
-        passed = at - start
-        zeros = passed - ones
-        all_zeros = stop - start
-        all_zeros -= all_ones
-        node = base.take(order)
-        known = node > 0
-        node += NODES[d].take(path)
-        node *= known
-        code = counts.take(node)
-        odds, known = _odds(LOW.take(code), HIGH.take(code), all_zeros.astype(F32), all_ones.astype(F32), zeros.astype(F32), ones.astype(F32))
-        x[d][order] = odds
-        level[d][order] += known
-        if d < 7:
-            one = y.view(bool)
-            middle = start + all_zeros
-            ones += middle
-            zeros += start
-            to = np.where(one, ones, zeros)
-            start, stop = np.where(one, middle, start), np.where(one, stop, middle)
-            order, start, stop = _moved(order, to), _moved(start, to), _moved(stop, to)
-
-
-def _moved(a: np.ndarray, to: np.ndarray) -> np.ndarray:
-    out = np.empty_like(a)
-    out[to] = a
-    return out
+    same -= own_same
+    np.maximum(same, F32(0), out=same)
+    other -= own_other
+    np.maximum(other, F32(0), out=other)
+    share = same + other
+    np.maximum(share, F32(LIMIT), out=share)
+    np.divide(F32(LIMIT), share, out=share)
+    same *= share
+    other *= share
+    same += same_before
+    other += other_before
+    known = (same + other > 0).view(np.int8)
+    same += F32(PRIOR)
+    other += F32(PRIOR)
+    same /= other
+    np.log(same, out=same)
+    same *= F32(SCALE)
+    np.rint(same, out=same)
+    np.clip(same, F32(-127), F32(127), out=same)
+    return same.astype(np.int8), known
+
+
+def _words(x: np.ndarray) -> np.ndarray:
+    """Rows of nine bytes, the ninth left out, as words."""
+    return np.ascontiguousarray(x.reshape(-1, 9)[:, :8]).view(U64).ravel()
+
+
+def _starts(key: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    first = np.ones(len(key), bool)
+    np.not_equal(key[1:], key[:-1], out=first[1:])
+    return np.flatnonzero(first)
+
+
+def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, sorted, and which of them each position has. Keys leave ``POSITION_BITS`` bits of a word free."""
+    if len(key) >> POSITION_BITS:
+        return np.unique(key, return_inverse=True)
+    word = key << U64(POSITION_BITS)
+    word |= np.arange(len(key), dtype=U64)
+    word.sort()
+    at = (word & U64((1 << POSITION_BITS) - 1)).view(np.int64)
+    word >>= U64(POSITION_BITS)
+    first = _starts(word)
+    which = np.empty(len(key), np.int64)
+    which[at] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key))))
+    return word.take(first), which
+
+
+def _known(pairs: np.ndarray, tables: Tables, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(pairs, 9)``: how often the corpus left each node on the way to a context's byte by the same bit, and by the other one; a column of zeros."""
+    h, c = (pairs >> U64(8)).view(np.int64), (pairs & U64(255)).view(np.int64)
+    place = h & int(tables.mask)
+    base = np.where(tables.owner[k].take(place) == h, (place + 1) << 8, 0)
+    code = tables.counts[k].take(base[:, None] + NODES.take(c, axis=0)) + BITS_HIGH.take(c, axis=0)
+    same, other = np.zeros((2, len(pairs), 9), F32)
+    same[:, :8], other[:, :8] = SAME.take(code), OTHER.take(code)
+    return same, other
+
+
+def evidence(b: np.ndarray, offsets: np.ndarray, tables: Tables) -> np.ndarray:
+    """``(bytes, 8 * (orders + 1))``: by each order the scaled log odds of a one for each bit, then how many orders had been at each bit's node before.
+
+    What the corpus knows is looked up once for each distinct context and byte. To a position whose context its row
+    has nowhere else that is all there is; the others are grouped by row and context, and visits of each node are counted in the group.
+    """
+    n, many = len(b), len(tables.orders)
+    out = np.zeros((n, many + 1), U64)
+    signs = SIGNS.take(b)
+    for k, h in enumerate(contexts(b, offsets, tables.orders)):
+        pairs, which = _distinct((h.astype(U64) << U64(8)) | b)
+        same, other = _known(pairs, tables, k)
+        odds, known = _odds(same.copy(), other.copy(), F32(1), F32(0), F32(0), F32(0))
+        odds, known = _words(odds).take(which), _words(known).take(which)
+        for i, j in runs(offsets, SORT_BLOCK):
+            lo, hi = int(offsets[i]), int(offsets[j])
+            if hi > lo:
+                _shared(b[lo:hi], h[lo:hi], offsets[i : j + 1] - lo, same, other, which[lo:hi], odds[lo:hi], known[lo:hi])
+        out[:, k] = (odds.view(np.int8) * signs.view(np.int8)).view(U64)
+        out[:, many] += known
+    return out.view(np.int8)
+
+
+def _shared(b, h, offsets, same, other, which, odds, known) -> None:
+    """Put right the odds at positions whose context their row has elsewhere, too."""
+    size = len(b)
+    pos_bits = U64(size.bit_length())
+    key = np.repeat(np.arange(len(offsets) - 1, dtype=U64), np.diff(offsets)) << U64(HASH_BITS)
+    key |= h
+    key <<= pos_bits
+    key |= np.arange(size, dtype=U64)
+    key.sort()
+    order = (key & ((U64(1) << pos_bits) - U64(1))).view(np.int64)
+    key >>= pos_bits
+    first = _starts(key)
+    length = np.diff(np.append(first, size))
+    order = order[np.repeat(length > 1, length)]
+    if not len(order):
+        return
+    length = length[length > 1]
+    first = np.cumsum(length) - length
+    c = b.take(order)
+    mixed = np.minimum.reduceat(c, first) != np.maximum.reduceat(c, first)
+    # where all of a group go the same way, each node's visits are the group's
+    for one, many in _slices(first[~mixed], length[~mixed], ODDS_BLOCK):
+        at, rank = _side_by_side(one, many)
+        _put(order.take(at), which, same, other, np.repeat(np.repeat(many, many).astype(F32), 9), F32(0), np.repeat(rank.astype(F32), 9), F32(0), odds, known)
+    for one, many in _slices(first[mixed], length[mixed], SORT_BLOCK):
+        for find, some in ((_visits, many <= MOST_STEPS), (_long_visits, many > MOST_STEPS)):
+            at, before, whole = find(c, one[some], many[some])
+            for i in range(0, len(at), ODDS_BLOCK):
+                j = min(i + ODDS_BLOCK, len(at))
+                r, w = before[9 * i : 9 * j + 1], whole[9 * i : 9 * j + 1]
+                # each column beside the next one; what the last one of a row meets is left out in the end
+                _put(order.take(at[i:j]), which, same, other, w[1:], w[:-1] - w[1:], r[1:], np.maximum(r[:-1] - r[1:], F32(0)), odds, known)
+
+
+def _put(to, which, same, other, own_same, own_other, same_before, other_before, odds, known) -> None:
+    v = which.take(to)
+    found = _odds(same.take(v, axis=0).ravel(), other.take(v, axis=0).ravel(), own_same, own_other, same_before, other_before)
+    odds[to], known[to] = _words(found[0]), _words(found[1])
+
+
+def _slices(first, length, most) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Groups, some of about ``most`` positions at a time."""
+    for i, j in runs(np.append(0, np.cumsum(length)), most):
+        yield first[i:j], length[i:j]
+
+
+def _side_by_side(first, length) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of groups, one group after the other, and the rank of each in its group."""
+    rank = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+    return rank + np.repeat(first, length), rank
+
+
+def _visits(c, first, length) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions, and for each one nine visits of its context's nodes, from the root to the byte: those before, and all of the group. A zero ends them.
+
+    Groups are read side by side, one position of each at a time.
+    """
+    falling = np.argsort(-length, kind="stable")
+    first, length = first[falling], length[falling]
+    n = int(length.sum())
+    steps = int(length[0]) if n else 0
+    live = np.searchsorted(-length, -np.arange(steps), "left")
+    stops = np.cumsum(live)
+    group = np.arange(n) - np.repeat(stops - live, live)
+    at = first.take(group) + np.repeat(np.arange(steps), live)
+    # the bytes of each group, in order, and the nodes that lead to them
+    leaves, leaf = _distinct((group.astype(U64) << U64(8)) | c.take(at))
+    nodes_to = np.empty((len(leaves), 9), np.int64)
+    for d in range(9):
+        first = _starts(leaves >> U64(8 - d))
+        nodes_to[:, d] = np.repeat(np.arange(d * len(leaves), d * len(leaves) + len(first)), np.diff(np.append(first, len(leaves))))
+    seen = np.zeros(9 * len(leaves), F32)
+    way = nodes_to.take(leaf, axis=0).ravel()
+    before, whole = np.zeros(9 * n + 1, F32), np.zeros(9 * n + 1, F32)
+    start = 0
+    for stop in (9 * stops).tolist():
+        here = way[start:stop]
+        had = seen.take(here)
+        before[start:stop] = had
+        had += F32(1)
+        seen[here] = had
+        start = stop
+    seen.take(nodes_to).take(leaf, axis=0, out=whole[:-1].reshape(-1, 9), mode="clip")
+    return at, before, whole
+
+
+def _long_visits(c, first, length) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for long groups, level by level, in sorted order."""
+    at, rank = _side_by_side(first, length)
+    n = len(at)
+    before, whole = np.zeros(9 * n + 1, F32), np.zeros(9 * n + 1, F32)
+    by_level = before[:-1].reshape(-1, 9), whole[:-1].reshape(-1, 9)
+    by_level[0][:, 0], by_level[1][:, 0] = rank, np.repeat(length, length)
+    pos_bits = U64(n.bit_length())
+    number = np.arange(n)
+    group = np.repeat(np.arange(len(first), dtype=U64), length) << U64(8)
+    path = c.take(at)
+    for d in range(1, 9):
+        key = ((group | (path >> np.uint8(8 - d))) << pos_bits) | number.view(U64)
+        key.sort()
+        to = (key & ((U64(1) << pos_bits) - U64(1))).view(np.int64)
+        key >>= pos_bits
+        new = _starts(key)
+        many = np.diff(np.append(new, n))
+        by_level[0][to, d] = number - np.repeat(new, many)
+        by_level[1][to, d] = np.repeat(many, many)
+    return at, before, whole
 
 
 _CENTRES = (1 / (1 + np.exp(-(np.arange(CELLS) - CELLS // 2) * MAP_STEP))).astype(F32)
@@ -333,13 +419,13 @@ def _code(b, first, size, x) -> np.ndarray:
         live = int(np.searchsorted(falling, -t, "left"))
         place = first[:live] + t
         sign = b.take(place)
-        xs = np.ascontiguousarray(x.take(place, axis=0).T).reshape(8, k + 1, live)
-        ls = xs[:, k].astype(np.int64)
-        xs = xs[:, :k].astype(F32)
+        xs = np.ascontiguousarray(x.take(place, axis=0).T).reshape(k + 1, 8, live)
+        ls = xs[k].astype(np.int64)
+        xs = xs[:k].astype(F32)
         ys = NODE_BITS.take(sign, axis=1)
         got = np.ones(live, F32)
         for d in range(8):
-            y, xd, w = ys[d], xs[d], weights[d, :, :live]
+            y, xd, w = ys[d], xs[:, d], weights[d, :, :live]
             s = w[0] * xd[0]
             for i in range(1, k):
                 s += w[i] * xd[i]

@@ -183,3 +183,16 @@ def test_counts_as_bytes():
     n = np.array([0, 1, 64, 65, 1000, 10**9, 1 << 50])
     got = M.DECODED[M.encoded(n)]
     assert got[:3].tolist() == [0, 1, 64] and np.all(np.abs(np.log(got[3:6] / n[3:6])) < 0.07)
+
+
+def test_visits_of_long_groups_are_those_of_short_ones():
+    rng = np.random.default_rng(5)
+    length = np.array([2, 700, 31, 5, 2])
+    first = np.cumsum(length) - length
+    c = rng.integers(0, 256, length.sum()).astype(np.uint8)
+    found = []
+    for find in (M._visits, M._long_visits):
+        at, before, whole = find(c, first, length)
+        order = np.argsort(at)
+        found.append((before[:-1].reshape(-1, 9)[order], whole[:-1].reshape(-1, 9)[order]))
+    assert all(np.array_equal(a, b) for a, b in zip(*found))
