@@ -17,11 +17,12 @@ length of a text changes what a segment takes.
 The counts of all contexts of the corpus are gathered by Spark. Executors hold the contexts that fit into
 tables of ``2^bits`` contexts an order, ``bits`` following the size of the corpus up to
 ``MOST_BITS``: where several contexts share a place the most frequent one has it, and a check
-tells it from the others, which then know of the text at hand only.
+tells it from the others. Counts of those are joined to the blocks of rows that have them.
 """
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -138,14 +139,25 @@ def _gather(orders: tuple[int, ...]):
     return run
 
 
+def _counted(docs: DataFrame, orders: tuple[int, ...]) -> DataFrame:
+    """``(k, h, byte, n)``: how often each byte follows each context, however many there are; a written table."""
+    counts = map_arrow(docs.where("text IS NOT NULL").select("text"), _gather(orders), "c long, n long")
+    return materialise(counts.groupBy("c").agg(F.sum("n").alias("n")).select(F.expr("CAST(c & 7 AS INT)").alias("k"), F.expr("shiftright(c, 11)").alias("h"), F.expr("CAST(shiftright(c, 3) & 255 AS INT)").alias("byte"), "n"), "counts")
+
+
 def train(docs: DataFrame, orders: tuple[int, ...] = ORDERS) -> Tables:
-    """Counts of every document.
+    """Tables of the counts of every document."""
+    counts = _counted(docs, orders)
+    tables = _held(counts, orders)
+    discard(counts)
+    return tables
+
 
-    Contexts and bytes are counted by Spark, however many there are; for each place of a table the context with the most bytes is
-    chosen there too, and executors turn its counts into those of nodes. So tables of bounded size are all that reaches the driver.
+def _held(counts: DataFrame, orders: tuple[int, ...]) -> Tables:
+    """Counts of the contexts that have a place: for each place the one with the most bytes.
+
+    Spark chooses them, and executors turn their counts into those of nodes. So tables of bounded size are all that reaches the driver.
     """
-    counts = map_arrow(docs.where("text IS NOT NULL").select("text"), _gather(orders), "c long, n long")
-    counts = materialise(counts.groupBy("c").agg(F.sum("n").alias("n")).select(F.expr("CAST(c & 7 AS INT)").alias("k"), F.expr("shiftright(c, 11)").alias("h"), F.expr("CAST(shiftright(c, 3) & 255 AS INT)").alias("byte"), "n"), "counts")
     size = counts.where("k = 0").agg(F.sum("n")).first()[0] or 0
     bits = min(max(int(size).bit_length() - BYTES_BITS, LEAST_BITS), MOST_BITS)
     tables = Tables(orders, bits)
@@ -167,7 +179,6 @@ def train(docs: DataFrame, orders: tuple[int, ...] = ORDERS) -> Tables:
         at = r["block"] * PER_BLOCK
         tables.owner[r["k"]][at : at + PER_BLOCK] = np.frombuffer(r["owner"], np.int64)
         tables.counts[r["k"]][(at + 1) << 8 : (at + 1 + PER_BLOCK) << 8] = np.frombuffer(r["body"], np.uint16)
-    discard(counts)
     return tables
 
 
@@ -240,18 +251,41 @@ def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return word.take(first), which
 
 
-def _known(pairs: np.ndarray, tables: Tables, k: int) -> tuple[np.ndarray, np.ndarray]:
+class Rest:
+    """Counts of one order's contexts that have no place in the tables: ``context << 8 | byte``, sorted, and for each one the columns of ``_known``."""
+
+    def __init__(self, pairs: np.ndarray, n: np.ndarray) -> None:
+        # a block that was read in two batches asked twice
+        self.pairs, first = np.unique(pairs, return_index=True)
+        n = n[first]
+        self.same, self.other = np.zeros((2, len(n), 9), F32)
+        above = None
+        for d in range(9) if len(n) else ():
+            first = _starts(self.pairs >> U64(8 - d))
+            here = np.repeat(np.add.reduceat(n, first), np.diff(np.append(first, len(n))))
+            if d:
+                self.same[:, d - 1], self.other[:, d - 1] = DECODED.take(encoded(here)), DECODED.take(encoded(above - here))
+            above = here
+
+
+def _known(pairs: np.ndarray, tables: Tables, k: int, rest: list[Rest] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """``(pairs, 9)``: how often the corpus left each node on the way to a context's byte by the same bit, and by the other one; a column of zeros."""
     h, c = (pairs >> U64(8)).view(np.int64), (pairs & U64(255)).view(np.int64)
     place = h & int(tables.mask)
-    base = np.where(tables.owner[k].take(place) == h, (place + 1) << 8, 0)
+    held = tables.owner[k].take(place) == h
+    base = np.where(held, (place + 1) << 8, 0)
     code = tables.counts[k].take(base[:, None] + NODES.take(c, axis=0)) + BITS_HIGH.take(c, axis=0)
     same, other = np.zeros((2, len(pairs), 9), F32)
     same[:, :8], other[:, :8] = SAME.take(code), OTHER.take(code)
+    if rest is not None and len(rest[k].pairs):
+        more = np.flatnonzero(~held)
+        at = np.minimum(np.searchsorted(rest[k].pairs, pairs[more]), len(rest[k].pairs) - 1)
+        found = rest[k].pairs[at] == pairs[more]
+        same[more[found]], other[more[found]] = rest[k].same[at[found]], rest[k].other[at[found]]
     return same, other
 
 
-def evidence(b: np.ndarray, offsets: np.ndarray, tables: Tables) -> np.ndarray:
+def evidence(b: np.ndarray, offsets: np.ndarray, tables: Tables, rest: list[Rest] | None = None) -> np.ndarray:
     """``(bytes, 8 * (orders + 1))``: by each order the scaled log odds of a one for each bit, then how many orders had been at each bit's node before.
 
     What the corpus knows is looked up once for each distinct context and byte. To a position whose context its row
@@ -262,7 +296,7 @@ def evidence(b: np.ndarray, offsets: np.ndarray, tables: Tables) -> np.ndarray:
     signs = SIGNS.take(b)
     for k, h in enumerate(contexts(b, offsets, tables.orders)):
         pairs, which = _distinct((h.astype(U64) << U64(8)) | b)
-        same, other = _known(pairs, tables, k)
+        same, other = _known(pairs, tables, k, rest)
         odds, known = _odds(same.copy(), other.copy(), F32(1), F32(0), F32(0), F32(0))
         odds, known = _words(odds).take(which), _words(known).take(which)
         for i, j in runs(offsets, SORT_BLOCK):
@@ -386,13 +420,13 @@ def _long_visits(c, first, length) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 _CENTRES = (1 / (1 + np.exp(-(np.arange(CELLS) - CELLS // 2) * MAP_STEP))).astype(F32)
 
 
-def score_rows(b: np.ndarray, offsets: np.ndarray, tables: Tables) -> np.ndarray:
-    """Total bits of each row."""
+def score_rows(b: np.ndarray, offsets: np.ndarray, tables: Tables, rest: list[Rest] | None = None) -> np.ndarray:
+    """Total bits of each row. ``rest``: counts of the rows' contexts that have no place in the tables."""
     n = np.diff(offsets)
     bits = np.zeros(len(n))
     if not len(b):
         return bits
-    x = evidence(b, offsets, tables)
+    x = evidence(b, offsets, tables, rest)
     parts = -(-n // SEGMENT)
     row = np.repeat(np.arange(len(n)), parts)
     inner = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
@@ -461,27 +495,123 @@ def _code(b, first, size, x) -> np.ndarray:
     return spent
 
 
+def _scored(doc_id, text, tables: Tables, rest: list[Rest] | None = None) -> list[pa.Array]:
+    whole, offsets = utf8(text)
+    bits = np.zeros(len(text))
+    for i, j in runs(offsets, SCORE_BLOCK):
+        bits[i:j] = score_rows(whole[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], tables, rest)
+    n = np.diff(offsets)
+    null = text.is_null().to_numpy(zero_copy_only=False)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        rate = bits / n
+    return [doc_id, pa.array(n, mask=null), pa.array(bits, mask=null), pa.array(rate, mask=null | (n == 0))]
+
+
+COLUMNS = ["doc_id", "n_bytes", "total_bits", "bits_per_byte"]
+SCHEMA = "doc_id long, n_bytes long, total_bits double, bits_per_byte double"
+
+
 def score(docs: DataFrame, orders: tuple[int, ...] = ORDERS) -> DataFrame:
+    """``score_all`` by the tables alone: contexts of the corpus that have no place there count for nothing."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, orders))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(_scored(batch.column("doc_id"), batch.column("text"), shared.value), COLUMNS)
+
+    return map_arrow(docs.selectExpr("CAST(doc_id AS LONG) AS doc_id", "text"), run, SCHEMA)
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the number of their block, of about ``SCORE_BLOCK`` bytes."""
+    for batch in batches:
+        for i, j in runs(utf8(batch.column("text"))[1], SCORE_BLOCK):
+            block = pa.array(np.full(j - i, secrets.randbits(63), np.int64))
+            some = batch.slice(i, j - i)
+            yield pa.RecordBatch.from_arrays([block, some.column("doc_id"), some.column("text")], ["block", "doc_id", "text"])
+
+
+def _asked(shared, part_bits: int):
+    """``(part, block, k, h)``: the contexts of each block that have no place in the tables, in words of 4 bytes, apart by their first bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = shared.value
+        bounds = np.arange(1 << part_bits, dtype=np.int64) << (HASH_BITS - part_bits)
+        for batch in batches:
+            block = batch.column("block").to_numpy()
+            first = _starts(block)
+            whole, offsets = utf8(batch.column("text"))
+            for i, j in zip(first.tolist(), np.append(first[1:], len(block)).tolist()):
+                b, off = whole[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                for k, h in enumerate(contexts(b, off, tables.orders)):
+                    h = h[tables.owner[k].take(h & tables.mask) != h]
+                    h.sort()
+                    h = h[_starts(h)]
+                    at = np.append(np.searchsorted(h, bounds), len(h))
+                    part = np.flatnonzero(at[1:] > at[:-1])
+                    found = [h[at[q] : at[q + 1]].tobytes() for q in part.tolist()]
+                    yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(np.full(len(part), block[i])), pa.array(np.full(len(part), k, np.int32)), pa.array(found, pa.binary())], ["part", "block", "k", "h"])
+
+    return run
+
+
+ANSWER = pa.schema([("block", pa.int64()), ("k", pa.int32()), ("h", pa.binary()), ("byte", pa.binary()), ("n", pa.binary())])
+
+
+def _answered(asked: pa.Table, counts: pa.Table) -> pa.Table:
+    """Counts of the contexts that blocks asked for. A context that the corpus has once tells nothing to the text it is from, and is left out."""
+    ks, out = counts["k"].to_numpy(), []
+    known = {}
+    for k in np.unique(ks).tolist():
+        pairs = (counts["h"].to_numpy()[ks == k] << 8) | counts["byte"].to_numpy()[ks == k]
+        order = np.argsort(pairs)
+        pairs, n = pairs[order], counts["n"].to_numpy()[ks == k][order]
+        first = _starts(pairs >> 8)
+        more = np.add.reduceat(n, first) > 1
+        known[k] = pairs, n, (pairs[first] >> 8)[more], first[more], np.diff(np.append(first, len(pairs)))[more]
+    for block, k, h in zip(asked["block"].to_pylist(), asked["k"].to_pylist(), asked["h"].to_pylist()):
+        pairs, n, have, first, length = known.get(k, (None,) * 5)
+        if have is None or not len(have):
+            continue
+        h = np.frombuffer(h, np.uint32).astype(np.int64)
+        at = np.minimum(np.searchsorted(have, h), len(have) - 1)
+        at = at[have[at] == h]
+        if len(at):
+            at = _side_by_side(first[at], length[at])[0]
+            some = n[at]
+            out.append({"block": block, "k": k, "h": (pairs[at] >> 8).astype(np.uint32).tobytes(), "byte": pairs[at].astype(np.uint8).tobytes(), "n": some.astype(np.min_scalar_type(int(some.max()))).tobytes()})
+    return pa.Table.from_pylist(out, ANSWER)
+
+
+def _rest(answers: pa.Table, orders: int) -> list[Rest]:
+    pairs, counts = [[np.zeros(0, U64)] for _ in range(orders)], [[np.zeros(0, np.int64)] for _ in range(orders)]
+    for k, h, byte, n in zip(*(answers[c].to_pylist() for c in ("k", "h", "byte", "n"))):
+        pairs[k].append(np.frombuffer(h, np.uint32).astype(U64) << U64(8) | np.frombuffer(byte, np.uint8))
+        counts[k].append(np.frombuffer(n, f"u{len(n) // len(byte)}").astype(np.int64))
+    return [Rest(np.concatenate(p), np.concatenate(n)) for p, n in zip(pairs, counts)]
+
+
+def score_all(docs: DataFrame, orders: tuple[int, ...] = ORDERS) -> DataFrame:
     """``(doc_id, n_bytes, total_bits, bits_per_byte)``, one row for each row of ``docs``.
 
     A null text has nulls; an empty one takes 0 bits and has null bits per byte. Repeated
     rows score alike, and each is part of the others' corpus, so that they are cheap. Texts of any length
     are read whole. Null and repeated ids are kept, extra columns are not read, an empty table gives an empty table.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(train(docs, orders))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = shared.value
-        for batch in batches:
-            text = batch.column("text")
-            whole, offsets = utf8(text)
-            bits = np.zeros(batch.num_rows)
-            for i, j in runs(offsets, SCORE_BLOCK):
-                bits[i:j] = score_rows(whole[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], tables)
-            n = np.diff(offsets)
-            null = text.is_null().to_numpy(zero_copy_only=False)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                rate = bits / n
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, mask=null), pa.array(bits, mask=null), pa.array(rate, mask=null | (n == 0))], ["doc_id", "n_bytes", "total_bits", "bits_per_byte"])
-
-    return map_arrow(docs.selectExpr("CAST(doc_id AS LONG) AS doc_id", "text"), run, "doc_id long, n_bytes long, total_bits double, bits_per_byte double")
+    Rows are scored in blocks. Contexts that have no place in the tables are asked for by
+    each block that has them, looked up in the corpus' counts part by part and brought to the block: bits are those of tables with a place for every context.
+    """
+    spark = docs.sparkSession
+    blocks = materialise(map_arrow(docs.selectExpr("CAST(doc_id AS LONG) AS doc_id", "text"), _cut, "block long, doc_id long, text string"), "blocks")
+    counts = _counted(blocks, orders)
+    tables = _held(counts, orders)
+    shared = spark.sparkContext.broadcast(tables)
+    part_bits = min(max((counts.count() >> 16).bit_length(), 5), 24)
+    asked = map_arrow(blocks.where("text IS NOT NULL").select("block", "text"), _asked(shared, part_bits), "part int, block long, k int, h binary")
+    parted = counts.select(F.expr(f"CAST(shiftright(h, {HASH_BITS - part_bits}) AS INT)").alias("part"), "k", "h", "byte", "n")
+    rest = asked.groupBy("part").cogroup(parted.groupBy("part")).applyInArrow(_answered, "block long, k int, h binary, byte binary, n binary")
+
+    def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        return pa.table(_scored(rows["doc_id"].combine_chunks(), rows["text"].combine_chunks(), shared.value, _rest(answers, len(orders))), COLUMNS)
+
+    return blocks.groupBy("block").cogroup(rest.groupBy("block")).applyInArrow(run, SCHEMA)

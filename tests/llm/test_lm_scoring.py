@@ -185,6 +185,28 @@ def test_counts_as_bytes():
     assert got[:3].tolist() == [0, 1, 64] and np.all(np.abs(np.log(got[3:6] / n[3:6])) < 0.07)
 
 
+def test_contexts_without_a_place_count_like_the_others(spark, monkeypatch):
+    texts = corpus(3)
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)] + [(99, None)], DOCS).repartition(3)
+    data = [x.encode() for x in texts]
+    want = reference(data, M.ORDERS, M.HASH_BITS)
+    bits = max(M.LEAST_BITS, sum(map(len, data)).bit_length())
+    assert max(abs(a - b) for a, b in zip(scored(texts, tables(data, M.ORDERS, bits)), want)) > 1
+    for most in (M.MOST_BITS, 8):
+        monkeypatch.setattr(M, "MOST_BITS", most)
+        rows = {r["doc_id"]: r for r in M.score_all(df).collect()}
+        assert len(rows) == len(texts) + 1
+        assert [rows[i]["total_bits"] for i in range(len(texts))] == pytest.approx(want, rel=1e-4, abs=1e-6)
+        assert rows[99]["n_bytes"] is None and rows[99]["total_bits"] is None
+
+
+def test_awkward_rows_in_blocks(spark):
+    df = spark.createDataFrame([(None, "abc", 1, 2), (1, "", 1, 2), (1, "", 1, 2), (2, None, 1, 2)], DOCS + ", k int, `block` int")
+    got = sorted(((r["doc_id"], r["n_bytes"], r["bits_per_byte"] is None) for r in M.score_all(df).collect()), key=repr)
+    assert got == sorted([(None, 3, False), (1, 0, True), (1, 0, True), (2, None, True)], key=repr)
+    assert M.score_all(df.limit(0)).count() == 0
+
+
 def test_visits_of_long_groups_are_those_of_short_ones():
     rng = np.random.default_rng(5)
     length = np.array([2, 700, 31, 5, 2])
