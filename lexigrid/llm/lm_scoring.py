@@ -54,6 +54,8 @@ MAP_SHARE = 0.5
 SEGMENT = 1 << 10
 COUNT_BLOCK = 1 << 21
 SCORE_BLOCK = 1 << 21
+#: Contexts are looked up for so many bytes of a block at a time: what that takes beside the result does not follow the block.
+LOOKUP_BLOCK = 1 << 19
 SORT_BLOCK = 1 << 17
 ODDS_BLOCK = 1 << 12
 #: Groups of more positions are not read side by side: few are as long.
@@ -66,12 +68,19 @@ _GROW = np.log(2.0**40 / _EXACT) / (255 - _EXACT)
 DECODED = np.concatenate((np.arange(_EXACT + 1), _EXACT * np.exp(_GROW * np.arange(1, 256 - _EXACT)))).astype(F32)
 
 
-def encoded(n: np.ndarray) -> np.ndarray:
-    """Counts as bytes; ``DECODED`` gives them back."""
+def _codes(n: np.ndarray) -> np.ndarray:
     more = _EXACT + np.rint(np.log(np.maximum(n, _EXACT) / _EXACT) / _GROW)
     return np.where(n <= _EXACT, n, np.minimum(more, 255)).astype(np.uint8)
 
 
+_CODES = _codes(np.arange(1 << 16))
+
+
+def encoded(n: np.ndarray) -> np.ndarray:
+    """Counts as bytes; ``DECODED`` gives them back."""
+    return _CODES.take(n) if n.size and int(n.max()) < len(_CODES) else _codes(n)
+
+
 def contexts(b: np.ndarray, offsets: np.ndarray, orders: tuple[int, ...]) -> list[np.ndarray]:
     """For each order, the context of each byte: the bytes before it, zeros before the start of a row. Orders 1 and 2 as they are, others hashed."""
     some = np.diff(offsets) > 0
@@ -252,20 +261,39 @@ def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Rest:
-    """Counts of one order's contexts that have no place in the tables: ``context << 8 | byte``, sorted, and for each one the columns of ``_known``."""
+    """Counts of one order's contexts that have no place in the tables: ``context << 8 | byte``, sorted, and how often.
+
+    Counts of nodes are made for the pairs that are looked up only.
+    """
 
     def __init__(self, pairs: np.ndarray, n: np.ndarray) -> None:
         # a block that was read in two batches asked twice
-        self.pairs, first = np.unique(pairs, return_index=True)
-        n = n[first]
-        self.same, self.other = np.zeros((2, len(n), 9), F32)
+        if len(pairs) and not (pairs[1:] > pairs[:-1]).all():
+            pairs, first = np.unique(pairs, return_index=True)
+            n = n[first]
+        self.pairs, self.n = pairs, n
+
+    def known(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which of ``pairs`` (sorted) are here, and the columns of ``_known`` for those."""
+        h = pairs >> U64(8)
+        h = h[_starts(h)] << U64(8)
+        first = np.searchsorted(self.pairs, h)
+        at = _side_by_side(first, np.searchsorted(self.pairs, h + U64(256)) - first)[0]
+        mine, n = self.pairs[at], self.n[at].astype(np.int64)
+        if not len(mine):
+            return np.zeros(0, np.int64), *np.zeros((2, 0, 9), F32)
+        at = np.minimum(np.searchsorted(mine, pairs), len(mine) - 1)
+        found = np.flatnonzero(mine[at] == pairs)
+        at = at[found]
+        same, other = np.zeros((2, len(at), 9), F32)
         above = None
-        for d in range(9) if len(n) else ():
-            first = _starts(self.pairs >> U64(8 - d))
-            here = np.repeat(np.add.reduceat(n, first), np.diff(np.append(first, len(n))))
+        for d in range(9):
+            first = _starts(mine >> U64(8 - d))
+            here = np.add.reduceat(n, first).take(np.searchsorted(first, at, "right") - 1)
             if d:
-                self.same[:, d - 1], self.other[:, d - 1] = DECODED.take(encoded(here)), DECODED.take(encoded(above - here))
+                same[:, d - 1], other[:, d - 1] = DECODED.take(encoded(here)), DECODED.take(encoded(above - here))
             above = here
+        return found, same, other
 
 
 def _known(pairs: np.ndarray, tables: Tables, k: int, rest: list[Rest] | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -279,20 +307,28 @@ def _known(pairs: np.ndarray, tables: Tables, k: int, rest: list[Rest] | None =
     same[:, :8], other[:, :8] = SAME.take(code), OTHER.take(code)
     if rest is not None and len(rest[k].pairs):
         more = np.flatnonzero(~held)
-        at = np.minimum(np.searchsorted(rest[k].pairs, pairs[more]), len(rest[k].pairs) - 1)
-        found = rest[k].pairs[at] == pairs[more]
-        same[more[found]], other[more[found]] = rest[k].same[at[found]], rest[k].other[at[found]]
+        if len(more):
+            found, *columns = rest[k].known(pairs[more])
+            same[more[found]], other[more[found]] = columns
     return same, other
 
 
 def evidence(b: np.ndarray, offsets: np.ndarray, tables: Tables, rest: list[Rest] | None = None) -> np.ndarray:
     """``(bytes, 8 * (orders + 1))``: by each order the scaled log odds of a one for each bit, then how many orders had been at each bit's node before.
 
-    What the corpus knows is looked up once for each distinct context and byte. To a position whose context its row
+    What the corpus knows is looked up once for each distinct context and byte of ``LOOKUP_BLOCK`` bytes. To a position whose context its row
     has nowhere else that is all there is; the others are grouped by row and context, and visits of each node are counted in the group.
     """
-    n, many = len(b), len(tables.orders)
-    out = np.zeros((n, many + 1), U64)
+    out = np.zeros((len(b), len(tables.orders) + 1), U64)
+    for i, j in runs(offsets, LOOKUP_BLOCK):
+        lo, hi = int(offsets[i]), int(offsets[j])
+        if hi > lo:
+            _looked_up(b[lo:hi], offsets[i : j + 1] - lo, tables, rest, out[lo:hi])
+    return out.view(np.int8)
+
+
+def _looked_up(b, offsets, tables, rest, out) -> None:
+    many = len(tables.orders)
     signs = SIGNS.take(b)
     for k, h in enumerate(contexts(b, offsets, tables.orders)):
         pairs, which = _distinct((h.astype(U64) << U64(8)) | b)
@@ -305,7 +341,6 @@ def evidence(b: np.ndarray, offsets: np.ndarray, tables: Tables, rest: list[Rest
                 _shared(b[lo:hi], h[lo:hi], offsets[i : j + 1] - lo, same, other, which[lo:hi], odds[lo:hi], known[lo:hi])
         out[:, k] = (odds.view(np.int8) * signs.view(np.int8)).view(U64)
         out[:, many] += known
-    return out.view(np.int8)
 
 
 def _shared(b, h, offsets, same, other, which, odds, known) -> None:
@@ -555,11 +590,11 @@ def _asked(shared, part_bits: int):
     return run
 
 
-ANSWER = pa.schema([("block", pa.int64()), ("k", pa.int32()), ("h", pa.binary()), ("byte", pa.binary()), ("n", pa.binary())])
+ANSWER = pa.schema([("block", pa.int64()), ("k", pa.int32()), ("h", pa.binary()), ("more", pa.binary()), ("byte", pa.binary()), ("n", pa.binary())])
 
 
 def _answered(asked: pa.Table, counts: pa.Table) -> pa.Table:
-    """Counts of the contexts that blocks asked for. A context that the corpus has once tells nothing to the text it is from, and is left out."""
+    """Counts of the contexts that blocks asked for: the contexts, how many bytes but one follow each, these bytes and how often. A context that the corpus has once tells nothing to the text it is from, and is left out."""
     ks, out = counts["k"].to_numpy(), []
     known = {}
     for k in np.unique(ks).tolist():
@@ -577,17 +612,21 @@ def _answered(asked: pa.Table, counts: pa.Table) -> pa.Table:
         at = np.minimum(np.searchsorted(have, h), len(have) - 1)
         at = at[have[at] == h]
         if len(at):
+            h, more = have[at].astype(np.uint32), (length[at] - 1).astype(np.uint8)
             at = _side_by_side(first[at], length[at])[0]
             some = n[at]
-            out.append({"block": block, "k": k, "h": (pairs[at] >> 8).astype(np.uint32).tobytes(), "byte": pairs[at].astype(np.uint8).tobytes(), "n": some.astype(np.min_scalar_type(int(some.max()))).tobytes()})
+            out.append({"block": block, "k": k, "h": h.tobytes(), "more": more.tobytes(), "byte": pairs[at].astype(np.uint8).tobytes(), "n": some.astype(np.min_scalar_type(int(some.max()))).tobytes()})
     return pa.Table.from_pylist(out, ANSWER)
 
 
 def _rest(answers: pa.Table, orders: int) -> list[Rest]:
-    pairs, counts = [[np.zeros(0, U64)] for _ in range(orders)], [[np.zeros(0, np.int64)] for _ in range(orders)]
-    for k, h, byte, n in zip(*(answers[c].to_pylist() for c in ("k", "h", "byte", "n"))):
-        pairs[k].append(np.frombuffer(h, np.uint32).astype(U64) << U64(8) | np.frombuffer(byte, np.uint8))
-        counts[k].append(np.frombuffer(n, f"u{len(n) // len(byte)}").astype(np.int64))
+    pairs, counts = [[np.zeros(0, U64)] for _ in range(orders)], [[np.zeros(0, np.uint8)] for _ in range(orders)]
+    # in the order of their contexts: parts hold ranges of them
+    for k, _, h, more, byte, n in sorted((k, int.from_bytes(h[:4], "little"), h, more, byte, n) for k, h, more, byte, n in zip(*(answers[c].to_pylist() for c in ("k", "h", "more", "byte", "n")))):
+        found = np.repeat(np.frombuffer(h, np.uint32).astype(U64) << U64(8), np.frombuffer(more, np.uint8).astype(np.int64) + 1)
+        found |= np.frombuffer(byte, np.uint8)
+        pairs[k].append(found)
+        counts[k].append(np.frombuffer(n, f"u{len(n) // len(byte)}"))
     return [Rest(np.concatenate(p), np.concatenate(n)) for p, n in zip(pairs, counts)]
 
 
@@ -609,7 +648,7 @@ def score_all(docs: DataFrame, orders: tuple[int, ...] = ORDERS) -> DataFrame:
     part_bits = min(max((counts.count() >> 16).bit_length(), 5), 24)
     asked = map_arrow(blocks.where("text IS NOT NULL").select("block", "text"), _asked(shared, part_bits), "part int, block long, k int, h binary")
     parted = counts.select(F.expr(f"CAST(shiftright(h, {HASH_BITS - part_bits}) AS INT)").alias("part"), "k", "h", "byte", "n")
-    rest = asked.groupBy("part").cogroup(parted.groupBy("part")).applyInArrow(_answered, "block long, k int, h binary, byte binary, n binary")
+    rest = asked.groupBy("part").cogroup(parted.groupBy("part")).applyInArrow(_answered, "block long, k int, h binary, more binary, byte binary, n binary")
 
     def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
         return pa.table(_scored(rows["doc_id"].combine_chunks(), rows["text"].combine_chunks(), shared.value, _rest(answers, len(orders))), COLUMNS)

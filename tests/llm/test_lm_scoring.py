@@ -1,5 +1,6 @@
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -218,3 +219,48 @@ def test_visits_of_long_groups_are_those_of_short_ones():
         order = np.argsort(at)
         found.append((before[:-1].reshape(-1, 9)[order], whole[:-1].reshape(-1, 9)[order]))
     assert all(np.array_equal(a, b) for a, b in zip(*found))
+
+
+def peak(f):
+    """What ``f`` returns, and the most bytes that it took meanwhile."""
+    tracemalloc.start()
+    try:
+        return f(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_answers_take_a_few_bytes_each_and_tell_the_ways_to_every_byte():
+    rng = np.random.default_rng(6)
+    h, byte = np.repeat(np.arange(1 << 12), 200), np.tile(np.arange(200), 1 << 12)
+    n = rng.integers(1, 100, len(h))
+    n[:200] = 70_000
+    counts = pa.table({"k": np.zeros(len(h), np.int32), "h": h, "byte": byte.astype(np.int32), "n": n})
+    asked = pa.table({"block": [7], "k": pa.array([0], pa.int32()), "h": [np.arange(0, 1 << 12, 2, dtype=np.uint32).tobytes()]})
+    answers = M._answered(asked, counts)
+    many = len(h) // 2
+    assert answers.nbytes < 6 * many
+    rest, most = peak(lambda: M._rest(answers, 1))
+    assert most < 40 * many
+    pairs = np.sort(rng.choice(1 << 20, 3000, replace=False)).astype(np.uint64)
+    same, other = M._known(pairs, M.Tables((5,), 8), 0, rest)
+    for q, a, b in zip(pairs.tolist(), same, other):
+        x, c = q >> 8, q & 255
+        mine = n.reshape(-1, 200)[x]
+        if x % 2 or c >= 200:
+            assert not a.any() and not b.any()
+            continue
+        for d in range(8):
+            way, to = (np.arange(200) >> (8 - d)) == c >> (8 - d), (np.arange(200) >> (7 - d)) == c >> (7 - d)
+            assert a[d] == M.DECODED[M.encoded(mine[to].sum())] and b[d] == M.DECODED[M.encoded(mine[way & ~to].sum())]
+
+
+def test_a_block_takes_some_bytes_for_each_of_its_own():
+    rng = np.random.default_rng(7)
+    b = rng.integers(97, 117, 1 << 21).astype(np.uint8)
+    offsets = np.arange(0, len(b) + 1, 1 << 11)
+    t = M.Tables(M.ORDERS, 8)
+    x, most = peak(lambda: M.evidence(b, offsets, t))
+    assert most < 160 * len(b)
+    part = slice(300 << 11, 301 << 11)
+    assert np.array_equal(x[part], M.evidence(b[part], np.array([0, 1 << 11]), t))
