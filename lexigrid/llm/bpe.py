@@ -6,7 +6,7 @@ bitmap marks the buckets that are not empty, so find-first-set gives the least
 rank. A popped position whose pair has another rank by now is stale and is
 skipped. Each merge adds two entries at most, so a pre-token of n bytes takes some n queue
 operations, however long it is. Equal ranks merge from left to right: within a
-bucket positions are taken in order, from one bitmap in short pre-tokens, and in those over ``DENSE`` bytes from the
+bucket positions are taken in order, found in the list of the pairs' ranks in pre-tokens of ``WORD`` bytes at most, from one bitmap in other short ones, and in those over ``DENSE`` bytes from the
 same hierarchy of bitmaps over positions, of 256 to a leaf, made for the bucket when it is first used.
 
 Texts are cut into pre-tokens by the public pattern of the vocabulary; the
@@ -31,6 +31,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LEAF = 256
 PAIR = 20
+#: Up to so many bytes the positions of a bucket are looked for in the list of the pairs' ranks.
+WORD = 48
 DENSE = 256
 _BIT = [1 << k for k in range(1 << 12)]
 CACHED = 400_000
@@ -78,7 +80,8 @@ class Merger:
     """A vocabulary's merges, and the rank queue that orders them.
 
     The queue is a bitmap of three levels: ``top`` marks the leaves in use, a leaf the buckets (ranks) in
-    use, a bucket the positions in it. In pieces of more than ``DENSE`` bytes a bucket is a ``_Places``, so that
+    use, a bucket the positions in it. In pieces of up to ``WORD`` bytes there are no buckets: the
+    list of the pairs' ranks tells the positions. In pieces of more than ``DENSE`` bytes a bucket is a ``_Places``, so that
     its size follows what is in it. The queue is empty between pieces and is used again.
     """
 
@@ -94,6 +97,8 @@ class Merger:
                     pairs[a << PAIR | b] = rank
         #: Rank of what two adjacent parts become.
         self.merged = pairs.get
+        #: The same for two bytes; -1: none.
+        self.two = [[get(bytes((a, b)), -1) for b in range(256)] for a in range(256)]
         n = max(ranks.values()) + 1
         self.bits = [0] * n
         self.leaves = [0] * (n // LEAF + 1)
@@ -105,12 +110,52 @@ class Merger:
             return [whole]
         single = self.single
         part = [single[c] for c in piece]
+        if len(part) <= min(WORD, DENSE):
+            two = self.two
+            self._word(part, [two[a][b] for a, b in zip(piece, piece[1:])])
+            return part
         if len(part) > DENSE:
             self._long(part)
         elif part:
             self._short(part)
         return [p for p in part if p >= 0]
 
+    def _word(self, part: list[int], rank: list[int]) -> None:
+        """Merge in place, without the parts that went into others. ``rank``: of each pair, by now (-1: none), so that a stale bucket is one whose rank no pair has."""
+        merged, leaves, bit = self.merged, self.leaves, _BIT
+        top = 0
+        for r in rank:
+            if r >= 0:
+                leaves[r >> 8] |= bit[r & 255]
+                top |= bit[r >> 8]
+        while top:
+            mark = top & -top
+            hi = mark.bit_length() - 1
+            leaf = leaves[hi]
+            low = leaf & -leaf
+            leaves[hi] = leaf = leaf ^ low
+            if not leaf:
+                top ^= mark
+            least = (hi << 8) + low.bit_length() - 1
+            if least not in rank:
+                continue
+            i = rank.index(least)
+            part[i] = least
+            del part[i + 1], rank[i]
+            if i < len(rank):
+                r = rank[i] = merged(least << PAIR | part[i + 1], -1)
+                if r >= 0:
+                    leaves[r >> 8] |= bit[r & 255]
+                    top |= bit[r >> 8]
+            if i:
+                r = rank[i - 1] = merged(part[i - 1] << PAIR | least, -1)
+                if r >= 0:
+                    leaves[r >> 8] |= bit[r & 255]
+                    top |= bit[r >> 8]
+            if least in rank:
+                leaves[hi] |= low
+                top |= mark
+
     def _short(self, part: list[int]) -> None:
         """Merge in place: a part that went into the one before it becomes -1."""
         merged, bits, leaves, bit = self.merged, self.bits, self.leaves, _BIT

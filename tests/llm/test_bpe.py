@@ -44,6 +44,14 @@ def test_short_and_long_queues_agree(monkeypatch):
     assert [m.encode(p) for p in pieces(7, 300, 250)] == want
 
 
+def test_words_need_no_positions_in_buckets(monkeypatch):
+    m = B.Merger(RANKS)
+    words = [p for p in pieces(8, 2000, 49)]
+    monkeypatch.setattr(m, "bits", None)
+    got = [m.encode(p) for p in words]
+    assert got == [naive(p) for p in words] and not any(m.leaves)
+
+
 def test_a_pretoken_of_half_a_megabyte():
     m = B.Merger(RANKS)
     for unit in (b"a", b"ab", b"theing"):
