@@ -25,6 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from lexigrid.llm.common import blocks
 from lexigrid.shipping import map_arrow
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -36,6 +37,8 @@ WORD = 48
 DENSE = 256
 _BIT = [1 << k for k in range(1 << 12)]
 CACHED = 400_000
+#: Bytes of text encoded at once.
+BLOCK = 1 << 20
 
 
 def load_ranks(path: str = VOCABULARY) -> dict[bytes, int]:
@@ -326,6 +329,25 @@ def _lists(bodies: list[bytes | None]) -> pa.ListArray:
 _worker: dict[str, tuple] = {}
 
 
+def _encoded(batch: pa.RecordBatch, pieces: _Pieces, tokens: list[bytes], verify: bool) -> pa.RecordBatch:
+    bodies, exact = [], []
+    for text in batch.column("text").to_pylist():
+        if text is None:
+            bodies.append(None)
+            exact.append(None)
+            continue
+        body = encode_text(text, pieces)
+        bodies.append(body)
+        if verify:
+            exact.append(b"".join(map(tokens.__getitem__, memoryview(body).cast("i"))) == text.encode())
+    out = [batch.column("doc_id"), _lists(bodies), pa.array([None if b is None else len(b) // 4 for b in bodies], pa.int32())]
+    names = ["doc_id", "token_ids", "n_tokens"]
+    if verify:
+        out.append(pa.array(exact, pa.bool_()))
+        names.append("round_trip")
+    return pa.RecordBatch.from_arrays(out, names)
+
+
 def _encoder(shared, name: str, verify: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name not in _worker:
@@ -334,22 +356,9 @@ def _encoder(shared, name: str, verify: bool):
             _worker[name] = _Pieces(ranks), token_bytes(ranks)
         pieces, tokens = _worker[name]
         for batch in batches:
-            bodies, exact = [], []
-            for text in batch.column("text").to_pylist():
-                if text is None:
-                    bodies.append(None)
-                    exact.append(None)
-                    continue
-                body = encode_text(text, pieces)
-                bodies.append(body)
-                if verify:
-                    exact.append(b"".join(map(tokens.__getitem__, memoryview(body).cast("i"))) == text.encode())
-            out = [batch.column("doc_id"), _lists(bodies), pa.array([None if b is None else len(b) // 4 for b in bodies], pa.int32())]
-            names = ["doc_id", "token_ids", "n_tokens"]
-            if verify:
-                out.append(pa.array(exact, pa.bool_()))
-                names.append("round_trip")
-            yield pa.RecordBatch.from_arrays(out, names)
+            # strings, ids and what is joined of them are those of a block at a time
+            for i, j in blocks(batch.column("text"), BLOCK):
+                yield _encoded(batch.slice(i, j - i), pieces, tokens, verify)
 
     return run
 

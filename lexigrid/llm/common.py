@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -114,6 +115,12 @@ def runs(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         i = min(j, n)
 
 
+def blocks(column: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Row ranges of about ``most`` bytes of a string column; null counts as empty."""
+    size = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    return runs(np.concatenate(([0], np.cumsum(size, dtype=np.int64))), most)
+
+
 def words(b: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and 64-bit hash of each word (bytes above a blank, within a row)."""
     solid = b > 32

@@ -8,13 +8,14 @@ apart. So shared q-grams are counted in overlapping diagonal bands, bands that r
 are kept, and an alignment limited to the band decides. Hits are counted by row, window and
 band, so neither other rows nor the cut into batches matter, and the filter loses nothing.
 
-Memory has a bound that no text and no benchmark moves: hits are expanded into postings
+Memory has a bound that no batch and no benchmark moves: texts are compared ``BLOCK`` bytes at a time, hits are expanded into postings
 ``EXPAND`` at a time, a long row is looked at in overlapping stretches, and an index holds ``WINDOWS`` windows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrid.llm.common import U64, beside, id_of, packed, repeated, row_key, runs, unpacked, utf8
+from lexigrid.llm.common import U64, beside, blocks, id_of, packed, repeated, row_key, runs, unpacked, utf8
 from lexigrid.shipping import map_arrow
 from lexigrid.storage import materialise
 
@@ -48,9 +49,9 @@ def letters(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """What is compared of each row, end to end, and the offsets of the rows."""
     b, off = utf8(pc.utf8_lower(column))
     kept = _keep[b]
-    total = np.zeros(len(b) + 1, np.int64)
-    np.cumsum(kept, out=total[1:])
-    return b[kept], total[off]
+    # counted row by row: a running count would take eight bytes for each one of the text
+    n = [np.count_nonzero(kept[i:j]) for i, j in pairwise(off.tolist())]
+    return b[kept], np.cumsum([0, *n], dtype=np.int64)
 
 
 def grams(b: np.ndarray) -> np.ndarray:
@@ -186,7 +187,13 @@ class Index:
 
 
 def _hits(index: Index, column: pa.Array) -> Iterator[tuple[int, list, bytes | int, int, int]]:
-    """``(row, items, window, edits, end)`` of what is verified."""
+    """``(row, items, window, edits, end)`` of what is verified. Memory follows ``BLOCK`` or the longest text, not the batch."""
+    for i, j in blocks(column, BLOCK):
+        for row, *hit in _block_hits(index, column.slice(i, j - i)):
+            yield i + row, *hit
+
+
+def _block_hits(index: Index, column: pa.Array) -> Iterator[tuple[int, list, bytes | int, int, int]]:
     b, off = letters(column)
     if index.whole:
         for r in np.flatnonzero((np.diff(off) < Q) & (np.diff(off) > 0)):
@@ -287,10 +294,12 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                bad = {h[0] for h in _hits(shared.value, batch.column("r").field("text"))}
+                text = batch.column("r").field("text")
+                bad = {h[0] for h in _hits(shared.value, text)}
                 keep = np.ones(batch.num_rows, bool)
                 keep[list(bad)] = False
-                yield batch.filter(pa.array(keep))
+                for i, j in blocks(text, BLOCK):
+                    yield batch.slice(i, j - i).filter(pa.array(keep[i:j]))
 
         return unpacked(map_arrow(rows, run, rows.schema))
     # one index in a worker at a time: the parts' findings are united by document

@@ -30,7 +30,8 @@ from lexigrid.shipping import map_arrow
 from lexigrid.storage import materialise
 
 BUCKETS = 1 << 15
-BLOCK = 1 << 20
+#: Bytes looked at at once: each takes some hundred bytes where six languages are told apart.
+BLOCK = 1 << 18
 #: Trigrams overlap, so each counts for less than an independent witness would.
 TEMPER = 0.4
 KAPPA_DOMAIN = 20.0

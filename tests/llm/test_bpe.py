@@ -1,6 +1,7 @@
 import random
 import time
 
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.errors import PythonException
@@ -110,3 +111,24 @@ def test_ids_that_are_nobodys(spark, ids):
         B.decode_ids(ids, TOKENS)
     with pytest.raises(PythonException):
         B.decode(spark.createDataFrame([(1, ids)], "doc_id long, token_ids array<int>")).collect()
+
+
+def test_a_batch_takes_memory_of_its_blocks(monkeypatch):
+    import tracemalloc
+    from types import SimpleNamespace
+
+    monkeypatch.setattr(B, "BLOCK", 1 << 15)
+    text = "some words of a text, one like the other " * 50
+    batch = pa.RecordBatch.from_arrays([pa.array(range(401)), pa.array([None, *[text] * 400])], ["doc_id", "text"])
+    run = B._encoder(SimpleNamespace(value=RANKS), "test", True)
+    rows, first = 0, None
+    list(run(iter([batch.slice(0, 2)])))
+    tracemalloc.start()
+    for out in run(iter([batch])):
+        first = first or out.slice(0, 2).to_pylist()
+        rows += out.num_rows
+        assert all(out.column("round_trip").to_pylist()[1:])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 401 and first[0]["token_ids"] is None and first[1]["token_ids"] == [i for p in B._find(text) for i in B.encode_piece(p.encode(), RANKS)]
+    assert peak < len(text) * 400 // 2

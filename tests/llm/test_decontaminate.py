@@ -122,6 +122,23 @@ def test_runs_of_one_letter_take_bounded_memory():
     assert hits and peak < 150 << 20
 
 
+def test_a_batch_takes_memory_of_its_blocks():
+    import tracemalloc
+
+    docs, items = world(7)
+    index = D.Index([w for i, t in items if t is not None for w in D.windows_of(i, t)])
+    texts = [None, "".join(t for _, t in docs)[:2000], "", "z" * 2000]
+    one = sorted(D._hits(index, pa.array(texts)), key=repr)
+    column = pa.array(texts * 4000)
+    tracemalloc.start()
+    hits = list(D._hits(index, column))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert one and sorted((h for h in hits if h[0] < 4), key=repr) == one
+    assert sorted(((h[0] - 15996, *h[1:]) for h in hits if h[0] >= 15996), key=repr) == one
+    assert len(hits) == 4000 * len(one) and peak < 4 * 4000 * 4000
+
+
 def test_spark_parts_and_whole_rows(spark):
     docs, items = world(6)
     docs += [(None, docs[0][1]), (None, docs[0][1]), (7, None), docs[1], docs[1]]

@@ -1,6 +1,7 @@
 import math
 from collections import defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -158,3 +159,16 @@ def test_rows_and_empty_tables(spark, sf):
     kept = L.keep_identified(more)
     assert kept.columns == more.columns and kept.where("doc_id IS NULL").count() == 2
     assert L.identify(docs.limit(0)).count() == L.keep_identified(docs.limit(0)).count() == 0
+
+
+def test_scores_of_a_batch_take_memory_of_its_blocks():
+    import tracemalloc
+
+    model = L.Model(list("abcde"), np.random.default_rng(3).integers(0, 50, (5, L.BUCKETS)).astype(float))
+    column = pa.array(["some words of a text, one like the other " * 50] * 2000)
+    tracemalloc.start()
+    scores, n = model.score(column)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (scores == model.score(column[:1])[0]).all() and (n == n[0]).all()
+    assert peak < 48 << 20
