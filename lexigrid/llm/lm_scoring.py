@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexigrid.llm.common import U64, runs, utf8
-from lexigrid.shipping import map_arrow
+from lexigrid.shipping import map_arrow, release
 from lexigrid.storage import discard, materialise
 
 ORDERS = (3, 5)
@@ -651,6 +651,8 @@ def score_all(docs: DataFrame, orders: tuple[int, ...] = ORDERS) -> DataFrame:
     rest = asked.groupBy("part").cogroup(parted.groupBy("part")).applyInArrow(_answered, "block long, k int, h binary, more binary, byte binary, n binary")
 
     def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        return pa.table(_scored(rows["doc_id"].combine_chunks(), rows["text"].combine_chunks(), shared.value, _rest(answers, len(orders))), COLUMNS)
+        scored = _scored(rows["doc_id"].combine_chunks(), rows["text"].combine_chunks(), shared.value, _rest(answers, len(orders)))
+        release()
+        return pa.table(scored, COLUMNS)
 
     return blocks.groupBy("block").cogroup(rest.groupBy("block")).applyInArrow(run, SCHEMA)
