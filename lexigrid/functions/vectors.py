@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,6 +30,20 @@ def literal(vector: list[float]) -> Column:
     return F.array(*[F.lit(float(x)).cast("float") for x in vector])
 
 
+def matrix(column: pa.Array, kind: type = np.float64) -> np.ndarray:
+    """Rows of a list column, all of one length and none of them null, taken from Arrow's buffer at once."""
+    lengths = pc.unique(pc.list_value_length(column)).to_pylist()
+    if len(lengths) > 1:
+        raise ValueError(f"vectors of several lengths: {sorted(lengths, key=str)[:5]}")
+    return column.flatten().to_numpy(zero_copy_only=False).astype(kind, copy=False).reshape(len(column), lengths[0] if lengths else 0)
+
+
+def lengths(x: np.ndarray) -> np.ndarray:
+    """Length of each row; 1 for a zero vector, as in ``norm``."""
+    n = np.sqrt(np.cumsum(x * x, axis=1)[:, -1]) if x.size else np.zeros(len(x))
+    return np.where(n == 0, 1.0, n)
+
+
 def sql_dot(a: str, b: str) -> str:
     return f"list_reduce(list_transform(range(1, len({a}) + 1), lambda i: CAST({a}[i] AS DOUBLE) * CAST({b}[i] AS DOUBLE)), lambda s, x: s + x)"
 

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lexigrid.functions import vectors as V
 from lexigrid.functions.text import excerpt, words
@@ -15,6 +16,8 @@ from lexigrid.shipping import extended, map_arrow
 
 #: Queries whose vectors are broadcast at once.
 QUERY_BYTES = 32 << 20
+#: Rows and queries that a task compares at once, and pairs of vectors that it scores at once.
+TILE_ROWS, TILE_QUERIES, EXACT_ROWS = 4096, 1024, 1 << 14
 
 
 def vector_topk(rows: DataFrame, query: list[float], k: int, key: str = "id", vector: str = "embedding", mode: str = "cosine") -> DataFrame:
@@ -24,34 +27,30 @@ def vector_topk(rows: DataFrame, query: list[float], k: int, key: str = "id", ve
 
 
 def batch_topk(rows: DataFrame, queries: DataFrame, k: int, key: str = "id", vector: str = "embedding", query_key: str = "query_id", most: int = QUERY_BYTES) -> DataFrame:
-    """``(query_id, id, score, rank)``: the ``k`` nearest rows of every query.
+    """``(query_id, id, score, rank)``: the ``k`` nearest rows of every query, ties by id.
 
-    Query vectors are broadcast part by part, each part of a bounded size; each
-    batch of rows gives its own best ``k`` for each query, so the shuffle carries candidates only.
+    Query vectors are broadcast part by part, each part of a bounded size. A task compares a tile of
+    them with a tile of its rows at a time and keeps the best ``k`` of each query, so its memory follows
+    neither number and the shuffle carries candidates only.
     """
     kinds = dict(rows.dtypes)
-    qkind = dict(queries.dtypes)[query_key]
-    schema = f"query_id {qkind}, id {kinds[key]}, score double"
+    qtype = to_arrow_type(queries.schema[query_key].dataType)
+    schema = f"query_id {dict(queries.dtypes)[query_key]}, id {kinds[key]}, score double"
     out = None
-    for ids, matrix in _query_parts(queries.select(query_key, vector), most):
-        shared = rows.sparkSession.sparkContext.broadcast((ids, matrix))
+    for ids, vectors in _query_parts(queries.select(query_key, vector), most):
+        shared = rows.sparkSession.sparkContext.broadcast((ids, vectors))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, q = shared.value
+            near, kind = None, None
             for b in batches:
-                if not b.num_rows:
-                    continue
-                x = np.stack([np.asarray(v, np.float64) for v in b.column("v").to_pylist()])
-                n = np.sqrt((x * x).sum(axis=1, keepdims=True))
-                s = q @ (x / np.where(n == 0, 1, n)).T
-                keys = np.array(b.column("id").to_pylist(), dtype=object)
-                order = np.argsort(keys, kind="stable")
-                best = order[np.argsort(-s[:, order], axis=1, kind="stable")[:, :k]]
-                rows_ = np.repeat(np.arange(len(ids)), best.shape[1])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[r] for r in rows_], b.schema.field("id").type if qkind == kinds[key] else None), pa.array(keys[best.ravel()].tolist(), b.schema.field("id").type), pa.array(s[rows_, best.ravel()])],
-                    ["query_id", "id", "score"],
-                )
+                if b.num_rows:
+                    near = near or Nearest(q, k)
+                    near.add(b.column("id"), V.matrix(b.column("v")))
+                    kind = b.schema.field("id").type
+            asked = pa.array(ids, qtype)
+            for at, found, score in near.best() if near else ():
+                yield pa.RecordBatch.from_arrays([asked.take(pa.array(at)), pa.array(found.tolist(), kind), pa.array(score)], ["query_id", "id", "score"])
 
         part = map_arrow(rows.where(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).alias("v")), run, schema)
         out = part if out is None else out.unionByName(part)
@@ -61,16 +60,83 @@ def batch_topk(rows: DataFrame, queries: DataFrame, k: int, key: str = "id", vec
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+class Nearest:
+    """The best ``k`` rows of each query among those added so far.
+
+    A product in single precision finds what may be among them; those few are scored in double precision,
+    summed in order as ``vectors.cosine`` is, so equal vectors get equal scores wherever they stand.
+    """
+
+    def __init__(self, queries: np.ndarray, k: int) -> None:
+        self.q, self.k = queries, k
+        self.length = V.lengths(queries.astype(np.float64))
+        self.unit = (queries / self.length[:, None]).astype(np.float32)
+        self.floor = np.full(len(queries), -np.inf, np.float32)
+        self.slack = np.float32((queries.shape[1] + 4) * 2.0**-22)  # twice what single precision may be off
+        self.at, self.key, self.score = np.empty(0, np.int64), None, np.empty(0)
+
+    def add(self, ids: pa.Array, x: np.ndarray) -> None:
+        keys = ids.to_numpy(zero_copy_only=False)
+        for i in range(0, len(x), TILE_ROWS):
+            own = x[i : i + TILE_ROWS]
+            length = V.lengths(own)
+            unit = (own / length[:, None]).astype(np.float32).T
+            by_key = np.empty(len(own), np.int64)
+            by_key[np.argsort(keys[i : i + TILE_ROWS], kind="stable")] = np.arange(len(own))
+            found = [self._tile(j, own, length, unit, by_key) for j in range(0, len(self.q), TILE_QUERIES)]
+            at, row, score = (np.concatenate(c) for c in zip(*found))
+            key = keys[i : i + TILE_ROWS][row]
+            self._keep(np.concatenate([self.at, at]), key if self.key is None else np.concatenate([self.key, key]), np.concatenate([self.score, score]))
+
+    def _tile(self, j: int, x: np.ndarray, length: np.ndarray, unit: np.ndarray, by_key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Queries from ``j`` on, rows of the tile and scores: the best ``k`` of each query, if they may be among its best at all."""
+        s = self.unit[j : j + TILE_QUERIES] @ unit
+        low = self.floor[j : j + TILE_QUERIES]
+        groups = max(self.k, 64)
+        each = s.shape[1] // groups
+        if each:  # the maxima of so many groups: at least k scores reach the k-th of them
+            top = s[:, : groups * each].reshape(len(s), groups, each).max(axis=2)
+            low = np.maximum(low, np.partition(top, groups - self.k, axis=1)[:, groups - self.k])
+        at, row = np.nonzero(s >= (low - self.slack)[:, None])
+        at += j
+        score = np.empty(len(at))
+        for c in range(0, len(at), EXACT_ROWS):
+            p, r = at[c : c + EXACT_ROWS], row[c : c + EXACT_ROWS]
+            dots = np.cumsum(self.q[p].astype(np.float64) * x[r], axis=1)[:, -1]
+            score[c : c + EXACT_ROWS] = dots / (self.length[p] * length[r])
+        keep, _ = self._first(at, score, by_key[row])
+        return at[keep], row[keep], score[keep]
+
+    def _keep(self, at: np.ndarray, key: np.ndarray, score: np.ndarray) -> None:
+        by_key = key if key.dtype != object else np.unique(key, return_inverse=True)[1]
+        keep, place = self._first(at, score, by_key)
+        self.at, self.key, self.score = at[keep], key[keep], score[keep]
+        last = place == self.k - 1
+        self.floor[self.at[last]] = self.score[last]
+
+    def _first(self, at: np.ndarray, score: np.ndarray, by_key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the best ``k`` of each query stand, and the place of each."""
+        order = np.lexsort((by_key, -score, at))
+        sorted_ = at[order]
+        place = np.arange(len(at)) - np.searchsorted(sorted_, sorted_)
+        keep = place < self.k
+        return order[keep], place[keep]
+
+    def best(self, rows: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for i in range(0, len(self.at), rows):
+            yield self.at[i : i + rows], self.key[i : i + rows], self.score[i : i + rows]
+
+
 def _query_parts(queries: DataFrame, most: int) -> Iterator[tuple[list, np.ndarray]]:
+    kind = np.float32 if queries.dtypes[1][1] == "array<float>" else np.float64
     ids, vectors, size = [], [], 0
     for r in queries.toLocalIterator():
         if r[1] is None:
             continue
-        v = np.asarray(r[1], np.float64)
-        n = float(np.sqrt(v @ v))
+        v = np.asarray(r[1], kind)
         ids.append(r[0])
-        vectors.append(v / (n or 1.0))
-        size += v.nbytes
+        vectors.append(v)
+        size += 8 * len(v)
         if size >= most:
             yield ids, np.stack(vectors)
             ids, vectors, size = [], [], 0

@@ -1,3 +1,7 @@
+import tracemalloc
+
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,6 +144,26 @@ def test_batch_topk_by_parts(spark):
     assert a == b and len(a) == 18
 
 
+def test_nearest_keeps_memory_and_ties_in_bounds():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(12_000, 16)).astype(np.float32).astype(np.float64)
+    x[::5] = x[0]  # many equal rows: the least ids win
+    near = R.Nearest(x[:6000].astype(np.float32), 3)
+    tracemalloc.start()
+    for i in range(0, len(x), 6000):
+        near.add(pa.array([f"{n:05}" for n in range(i, i + 6000)]), x[i : i + 6000])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150 << 20  # one product of all queries and all rows of a batch takes 288 MB
+    got: dict = {}
+    for at, key, score in near.best():
+        for a, b, c in zip(at.tolist(), key, score.tolist()):
+            got.setdefault(a, []).append((b, c))
+    for i in (0, 5, 7, 5999):
+        s = np.cumsum(x[i] * x, axis=1)[:, -1] / (np.sqrt(np.cumsum(x[i] * x[i])[-1]) * np.sqrt(np.cumsum(x * x, axis=1)[:, -1]))
+        assert got[i] == [(f"{n:05}", s[n]) for n in sorted(range(len(x)), key=lambda n: (-s[n], n))[:3]]
+
+
 def test_late_rows_are_dropped(spark, tmp_path):
     def put(n, rows):
         spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double").withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
