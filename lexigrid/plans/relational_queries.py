@@ -137,7 +137,8 @@ register("fn_regex", r"SELECT doc_id, regexp_extract(text, r'([A-Za-z]+)\s', 1)
 register("fn_date", "SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, date_trunc('month', o_orderdate) AS first, datediff(DATE '2000-01-01', CAST(o_orderdate AS DATE)) AS days FROM orders", "SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS first, DATE '2000-01-01' - CAST(o_orderdate AS DATE) AS days FROM orders")
 register(
     "fn_array",
-    "SELECT vec_id, transform(slice(embedding, 1, 3), x -> round(CAST(x AS DOUBLE) * 2, 4)) AS t, size(filter(embedding, x -> x > 0)) AS pos, array_position(transform(embedding, x -> x > 0), true) AS first FROM embeddings",
+    # DuckDB rounds the scaled double and keeps the sign of what becomes zero; Spark rounds its decimal digits
+    "SELECT vec_id, transform(slice(embedding, 1, 3), x -> signum(x) * round(abs(CAST(x AS DOUBLE) * 2) * 10000) / 10000) AS t, size(filter(embedding, x -> x > 0)) AS pos, array_position(transform(embedding, x -> x > 0), true) AS first FROM embeddings",
     "SELECT vec_id, list_transform(embedding[1:3], lambda x: round(CAST(x AS DOUBLE) * 2, 4)) AS t, len(list_filter(embedding, lambda x: x > 0)) AS pos, coalesce(list_position(list_transform(embedding, lambda x: x > 0), true), 0) AS first FROM embeddings",
 )
 register("fn_map", "SELECT n_nationkey, map('name', n_name, 'region', CAST(n_regionkey AS STRING))['name'] AS name, size(map('a', 1, 'b', 2)) AS n FROM nation", "SELECT n_nationkey, n_name AS name, 2 AS n FROM nation")
