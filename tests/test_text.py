@@ -74,3 +74,19 @@ def test_no_chunker_shuffles(spark):
     docs = spark.createDataFrame([("m", "# A\na")], "doc_id string, text string")
     for f in (chunking.chunk_words, chunking.split_sections, chunking.chunk_sections):
         assert "Exchange" not in f(docs)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_of_one_sheet_are_numbered_by_many_tasks(spark, monkeypatch):
+    from lexigrid.operators import chunking
+
+    ranges = []
+    write = chunking.materialise
+    monkeypatch.setattr(chunking, "materialise", lambda df, label: ranges.append(write(df, label)) or ranges[-1])
+    rows = spark.range(1000).select(F.when(F.col("id") % 10 == 0, F.lit("b")).when(F.col("id") % 10 == 1, F.lit(None)).otherwise(F.lit("a")).alias("d"), (999 - F.col("id")).alias("k"))
+    got = chunking.numbered(rows, "d", ["k"], task_rows=50).collect()
+    # the values of k are gone, so numbers must be those of all rows of a value once each
+    for d, n in (("a", 800), ("b", 100), (None, 100)):
+        assert sorted(r["i"] for r in got if r["d"] == d) == list(range(n))
+    assert ranges[0].where("d = 'a'").selectExpr("shiftright(_m, 33)").distinct().count() > 4
+    blocks = chunking.group_rows(rows, F.col("k").cast("string"), [F.col("k")], F.col("d"), 30).where("doc_id = 'b'").orderBy("position").collect()
+    assert [t for b in blocks for t in b["text"].split("\n")] == [str(k) for k in range(9, 1000, 10)] and len(blocks) == 4
