@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from lexigrid.operators.components import connected_components
 from lexigrid.shipping import ship
-from lexigrid.storage import materialise
+from lexigrid.storage import materialise, spread
 
 VITAL = ("DAY", "SEGMENT", "EPISODE", "TOPIC", "SUBTOPIC")
 BLOCK_ROWS = 4096
+#: Rows of a frontier that every executor may hold at once.
+FRONTIER = 100_000
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -131,17 +133,25 @@ def prune_components(nodes: DataFrame, edges: DataFrame, least: int = 3, vital:
 def khop(edges: DataFrame, seeds: DataFrame, depth: int = 2) -> DataFrame:
     """``(seed, node, hops)`` of what is within ``depth`` edges of each seed, either way, without the seed itself.
 
-    A frontier and what it has seen, joined once for each hop; the plan is cut after each.
+    A frontier and what it has seen, joined once for each hop; the plan is cut after each. Every hop reads the
+    edges, so give a table of them; repeated ones do no harm. A small frontier goes to them, a large one meets them by node.
     """
-    two = materialise(both_ways(edges).distinct(), "adjacent")
-    seen = seeds.select(F.col("seed"), F.col("seed").alias("node"), F.lit(0).alias("hops")).distinct()
-    frontier = seen
+    seen = materialise(seeds.select(F.col("seed"), F.col("seed").alias("node"), F.lit(0).alias("hops")).distinct(), "seeds")
+    frontier, total = seen, None
     for h in range(1, depth + 1):
-        step = frontier.join(two, "node").select("seed", F.col("other").alias("node")).distinct()
+        n = frontier.count()
+        if not n:
+            break
+        two = both_ways(edges)
+        if n > FRONTIER:
+            total = edges.count() if total is None else total
+            two = spread(two, 2 * total, "node")
+            step = frontier.join(two, "node")
+        else:
+            step = two.join(F.broadcast(frontier), "node")
+        step = step.select("seed", F.col("other").alias("node")).distinct()
         frontier = materialise(step.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("hops", F.lit(h)), "frontier")
         seen = seen.unionByName(frontier)
-        if h < depth and frontier.isEmpty():
-            break
     return seen.where("hops > 0")
 
 

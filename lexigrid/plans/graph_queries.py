@@ -8,7 +8,7 @@ from lexigrid.functions import vectors as V
 from lexigrid.operators import communities as C
 from lexigrid.operators import graph as G
 from lexigrid.operators import topics as TP
-from lexigrid.plans.base import CHUNKS, ENTITIES, RELATIONS, SIMILAR, chunks, entities, relations, table
+from lexigrid.plans.base import CHUNKS, ENTITIES, RELATIONS, SIMILAR, chunks, entities, links, relations, table
 from lexigrid.plans.registry import query
 from lexigrid.storage import materialise
 
@@ -150,7 +150,7 @@ SELECT 's1' AS seed, node, 1 AS hops FROM h1 UNION ALL SELECT 's1', node, 2 FROM
 )
 def khop(spark, d):
     seeds = spark.createDataFrame([("s1",)], "seed string")
-    return G.khop(relations(spark, d), seeds, 2)
+    return G.khop(links(spark, d), seeds, 2)
 
 
 @query(

@@ -58,6 +58,30 @@ def test_khop_and_neighbours(spark):
     assert got == {("a", "b", 1), ("a", "c", 2), ("d", "c", 1), ("d", "b", 2)}
 
 
+def recorded(monkeypatch, module):
+    """What ``module`` writes from now on: label, rows and the plan it was made by."""
+    seen, write = [], module.materialise
+
+    def run(df, label="t"):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        out = write(df, label)
+        seen.append((label, out.count(), plan))
+        return out
+
+    monkeypatch.setattr(module, "materialise", run)
+    return seen
+
+
+def test_khop_writes_what_it_finds_not_all_edges(spark, monkeypatch):
+    e = spark.range(3000).selectExpr("concat('x', id) AS src", "concat('y', id) AS dst").union(edges(spark, [("a", "b", 1.0), ("a", "b", 2.0), ("c", "b", 1.0)]).select("src", "dst"))
+    seeds = spark.createDataFrame([("a",)], "seed string")
+    written = recorded(monkeypatch, G)
+    want = {("a", "b", 1), ("a", "c", 2)}
+    assert {tuple(r) for r in G.khop(e, seeds, 2).collect()} == want and max(n for _, n, _ in written) < 10
+    monkeypatch.setattr(G, "FRONTIER", 0)  # as if the frontier were large
+    assert {tuple(r) for r in G.khop(e, seeds, 2).collect()} == want
+
+
 def test_similarity_pairs_over_several_blocks(spark):
     rng = random.Random(1)
     rows = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(50)] + [(99, None)]
