@@ -45,10 +45,13 @@ def properties(df: DataFrame, by: str, skip: tuple[str, ...] = ()) -> DataFrame:
 
 
 def edge_profile(edges: DataFrame, nodes: DataFrame, label: str = "rel", node_type: str = "node_type") -> DataFrame:
-    """``(rel, count, source_types, target_types)``."""
+    """``(rel, count, source_types, target_types)``. Ends are counted before they meet their nodes, so edges themselves aren't moved."""
     n = nodes.select("id", F.coalesce(node_type, F.lit("UNKNOWN")).alias("t"))
-    e = edges.join(n.select(F.col("id").alias("src"), F.col("t").alias("st")), "src", "left").join(n.select(F.col("id").alias("dst"), F.col("t").alias("dt")), "dst", "left")
-    return e.groupBy(label).agg(F.count(F.lit(1)).alias("count"), F.sort_array(F.collect_set("st")).alias("source_types"), F.sort_array(F.collect_set("dt")).alias("target_types"))
+    ends = F.explode(F.array(F.struct(F.col("src").alias("id"), F.lit(True).alias("out")), F.struct(F.col("dst").alias("id"), F.lit(False).alias("out"))))
+    e = edges.select(label, ends.alias("end")).groupBy(label, "end.id", "end.out").agg(F.count(F.lit(1)).alias("n"))
+    typed = e.join(n, "id", "left")
+    types = lambda out: F.sort_array(F.collect_set(F.when(out, F.col("t"))))
+    return typed.groupBy(label).agg(F.sum(F.when(F.col("out"), F.col("n"))).alias("count"), types(F.col("out")).alias("source_types"), types(~F.col("out")).alias("target_types"))
 
 
 def counts(**tables: DataFrame) -> DataFrame:

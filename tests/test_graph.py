@@ -82,6 +82,16 @@ def test_khop_writes_what_it_finds_not_all_edges(spark, monkeypatch):
     assert {tuple(r) for r in G.khop(e, seeds, 2).collect()} == want
 
 
+def test_edge_profile_moves_ends_of_edges_once(spark):
+    from lexigrid.operators.profile import edge_profile
+
+    e = spark.createDataFrame([("a", "x", "R"), ("b", "x", "R"), ("a", "gone", "R"), (None, "x", "S"), ("c", None, "S")], "src string, dst string, rel string")
+    n = spark.createDataFrame([("a", "A"), ("b", None), ("x", "X"), ("c", "A")], "id string, node_type string")
+    out = edge_profile(e, n)
+    assert {r["rel"]: tuple(r)[1:] for r in out.collect()} == {"R": (3, ["A", "UNKNOWN"], ["X"]), "S": (2, ["A"], ["X"])}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
 def test_similarity_pairs_over_several_blocks(spark):
     rng = random.Random(1)
     rows = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(50)] + [(99, None)]
