@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from lexigrid.operators.components import connected_components
 from lexigrid.shipping import ship
-from lexigrid.storage import materialise, spread
+from lexigrid.storage import discard, materialise, spread, tasks
 
 VITAL = ("DAY", "SEGMENT", "EPISODE", "TOPIC", "SUBTOPIC")
 BLOCK_ROWS = 4096
-#: Rows of a frontier that every executor may hold at once.
-FRONTIER = 100_000
+#: Rows of a frontier, and sources of edges, that every executor may hold at once.
+FRONTIER, SOURCES = 100_000, 500_000
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -169,15 +169,26 @@ def neighbours(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
-    """``(node, rank)`` after a fixed number of rounds along ``src -> dst``; what has no way out passes nothing on."""
-    nodes = materialise(edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "nodes")
-    n = nodes.count()
-    out = edges.groupBy("src").agg(F.count(F.lit(1)).alias("out"))
-    links = materialise(edges.join(out, "src").select("src", "dst", "out"), "links")
+    """``(node, rank)`` after a fixed number of rounds along ``src -> dst``; what has no way out passes nothing on.
+
+    Edges are written by ``dst`` once. In a round what each source passes on goes to them, if sources are few, so
+    edges stay where they are and only sums of nodes are moved.
+    """
+    e = materialise(edges.select("src", "dst"), "edges")
+    total = e.count()
+    n_tasks = tasks(e.sparkSession, total)
+    links = materialise(e.repartition(n_tasks, "dst") if n_tasks else e.repartition("dst"), "links")
+    discard(e)
+    out = materialise(links.groupBy("src").agg(F.count(F.lit(1)).alias("out")), "out")
+    nodes = materialise(links.select(F.col("dst").alias("node")).unionByName(out.select(F.col("src").alias("node"))).distinct(), "nodes")
+    n, few = nodes.count(), out.count() <= SOURCES
     rank = nodes.select("node", F.lit(1.0 / max(1, n)).alias("rank"))
     for _ in range(rounds):
-        passed = links.join(rank.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") / F.col("out")).alias("in"))
-        rank = materialise(nodes.join(passed, "node", "left").select("node", ((1 - damping) / max(1, n) + damping * F.coalesce("in", F.lit(0.0))).alias("rank")), "rank")
+        gives = out.join(rank.withColumnRenamed("node", "src"), "src").select("src", (F.col("rank") / F.col("out")).alias("gives"))
+        met = links.join(F.broadcast(gives), "src") if few else spread(links, total, "src").join(gives, "src")
+        passed = met.groupBy(F.col("dst").alias("node")).agg(F.sum("gives").alias("in"))
+        last, rank = rank, materialise(nodes.join(passed, "node", "left").select("node", ((1 - damping) / max(1, n) + damping * F.coalesce("in", F.lit(0.0))).alias("rank")), "rank")
+        discard(last)
     return rank
 
 

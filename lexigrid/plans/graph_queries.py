@@ -185,7 +185,7 @@ def _pagerank_sql(rounds: int) -> str:
 
 @query("pagerank", _pagerank_sql(5))
 def pagerank(spark, d):
-    return G.pagerank(materialise(relations(spark, d), "relations"), 5).select("node", F.round("rank", 9).alias("rank"))
+    return G.pagerank(relations(spark, d), 5).select("node", F.round("rank", 9).alias("rank"))
 
 
 @query(

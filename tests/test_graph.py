@@ -92,6 +92,30 @@ def test_edge_profile_moves_ends_of_edges_once(spark):
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
 
 
+def test_pagerank_leaves_edges_where_they_are(spark, monkeypatch):
+    rng = random.Random(2)
+    pairs = [(f"n{rng.randrange(20)}", f"n{rng.randrange(30)}") for _ in range(80)]
+    nodes = sorted({n for p in pairs for n in p})
+    want = dict.fromkeys(nodes, 1 / len(nodes))
+    for _ in range(3):
+        into = dict.fromkeys(nodes, 0.0)
+        for a, b in pairs:
+            into[b] += want[a] / sum(x == a for x, _ in pairs)
+        want = {n: 0.15 / len(nodes) + 0.85 * into[n] for n in nodes}
+    e = spark.createDataFrame(pairs, "src string, dst string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        written = recorded(monkeypatch, G)
+        few = {r["node"]: r["rank"] for r in G.pagerank(e, 3).collect()}
+        assert all("BroadcastHashJoin" in plan for label, _, plan in written if label == "rank")
+        monkeypatch.setattr(G, "SOURCES", 0)  # as if sources were many
+        many = {r["node"]: r["rank"] for r in G.pagerank(e, 3).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    for n in nodes:
+        assert abs(few[n] - want[n]) < 1e-12 and abs(many[n] - want[n]) < 1e-12
+
+
 def test_similarity_pairs_over_several_blocks(spark):
     rng = random.Random(1)
     rows = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(50)] + [(99, None)]
