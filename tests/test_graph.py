@@ -161,6 +161,34 @@ def test_coref():
     assert got["President of ECB"] == got["ECB of President"] and got["Other"] == "Other"
 
 
+def test_few_pairs_of_names_are_matched(monkeypatch):
+    built, calls = [], []
+
+    class Counting(E.SequenceMatcher):
+        def __init__(self, *a, **k):
+            built.append(1)
+            super().__init__(*a, **k)
+
+        def ratio(self):
+            calls.append(1)
+            return super().ratio()
+
+    monkeypatch.setattr(E, "SequenceMatcher", Counting)
+    rng = random.Random(4)
+    names = sorted({"".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(12)) for _ in range(150)} | {"alpha beta", "alpha betas", "beta alpha"})
+    got = E.greedy_names(names)
+    assert len(built) <= len(names) and len(calls) < 500  # a pair each before: over 11,000
+    assert got["alpha beta"] == got["alpha betas"] == "alpha betas" and got["beta alpha"] == "beta alpha"
+    shuffled = " ".join("abcdefghij"), " ".join("jihgfedcba"), " ".join("abcdefghijk")
+    assert len(set(E.greedy_names(sorted(shuffled)).values())) == 1  # 10 words of 11, by words alone
+
+
+def test_triples_of_text_are_those_of_the_two_steps(spark):
+    c = spark.createDataFrame([("d", "Ada Lovelace met Charles Babbage. Then Mr. Babbage left U.S. Then Ada Byron wrote."), ("e", None), ("f", "none here")], "doc_id string, text string")
+    two = E.extract_triples(E.ner_spans(c)).selectExpr("doc_id", "inline(triples)")
+    assert E.triples_of(c).collect() == two.collect() != []
+
+
 def test_remap_drops_self_loops_and_blanks(spark):
     t = spark.createDataFrame([(1, "A", "r", "a."), (1, "A", "r", "B"), (1, "a.", "r", "B"), (1, " ", "r", "B")], "s int, h string, r string, t string")
     m = spark.createDataFrame([(1, "A", "a."), (1, "a.", "a.")], "s int, name string, mapped string")
