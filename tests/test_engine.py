@@ -164,6 +164,25 @@ def test_nearest_keeps_memory_and_ties_in_bounds():
         assert got[i] == [(f"{n:05}", s[n]) for n in sorted(range(len(x)), key=lambda n: (-s[n], n))[:3]]
 
 
+def test_trigrams_are_hashed_by_tables(monkeypatch):
+    import zlib
+
+    from lexigrid.operators.embed import hashed_trigrams
+
+    texts = ["Some words, as they stand.", "", "é 漢字 \U0001f600", "x" * 5000]
+    want = np.zeros((len(texts), 384), np.float32)
+    for i, t in enumerate(texts):
+        b = f" {t.lower()} ".encode()
+        for j in range(len(b) - 2):
+            h = zlib.crc32(b[j : j + 3])
+            want[i, h % 384] += 1.0 if h >> 31 else -1.0
+    n = np.linalg.norm(want, axis=1, keepdims=True)
+    calls, crc32 = [], zlib.crc32
+    monkeypatch.setattr(zlib, "crc32", lambda b: calls.append(1) or crc32(b))
+    assert (hashed_trigrams()()(texts) == want / np.where(n == 0, 1, n)).all()
+    assert len(calls) < 1000  # for the tables; one for each trigram before
+
+
 def test_late_rows_are_dropped(spark, tmp_path):
     def put(n, rows):
         spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double").withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
