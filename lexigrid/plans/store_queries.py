@@ -7,11 +7,12 @@ import uuid
 from pyspark.sql import functions as F
 
 from lexigrid.functions import vectors as V
+from lexigrid.operators import chunking
 from lexigrid.operators import profile as P
 from lexigrid.operators import retrieval as R
 from lexigrid.operators import upsert as U
 from lexigrid.operators.embed import embed, hashed_trigrams
-from lexigrid.plans.base import CHUNKS, DOCS, ENTITIES, RELATIONS, chunks, documents, entities, relations, table
+from lexigrid.plans.base import CHUNKS, DOCS, ENTITIES, OVERLAP, RELATIONS, SIZE, chunks, documents, entities, relations, table
 from lexigrid.plans.registry import query
 from lexigrid.sources import graph_store
 from lexigrid.storage import materialise, shared_dir
@@ -300,10 +301,14 @@ def context_accumulate(spark, d):
 def retrieve_cited(spark, d):
     """The flagship: every benchmark text as a question; its five nearest chunks by embedding, with their documents, as citations."""
     load = hashed_trigrams()
-    c = materialise(embed(chunks(spark, d).select("chunk_id", "doc_id", "text"), F.col("text"), load), "embedded")
+    # vectors are made as they are compared: written down they would be larger than the texts
+    e = embed(chunks(spark, d).select("chunk_id", "text"), F.col("text"), load, keep=["chunk_id"])
     q = embed(table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), "text"), F.col("text"), load)
-    top = R.batch_topk(c, q, 5, "chunk_id")
-    full = top.withColumnRenamed("id", "chunk_id").join(c.select("chunk_id", "doc_id", "text"), "chunk_id")
+    top = materialise(R.batch_topk(e, q, 5, "chunk_id").withColumnRenamed("id", "chunk_id"), "nearest")
+    # only documents that are cited are cut again
+    cited = top.select(F.regexp_extract("chunk_id", "^(.*):", 1).alias("doc_id")).distinct()
+    t = table(spark, d, "documents").withColumn("doc_id", F.col("doc_id").cast("string")).join(cited, "doc_id", "left_semi")
+    full = chunking.chunk_words(t, SIZE, OVERLAP).select("chunk_id", "doc_id", "text").join(top, "chunk_id")
     return R.with_parent(full, documents(spark, d)).select("query_id", "rank", "chunk_id", "doc_id", "doc_title", F.substring("text", 1, 300).alias("text_excerpt"), F.round("score", 6).alias("score"))
 
 

@@ -27,6 +27,15 @@ def test_flagship_cites_five_chunks_for_each_question(spark, sf):
     assert len(rows) == 40 and {r["count"] for r in rows} == {5}
 
 
+def test_flagship_writes_no_vectors(spark, sf, monkeypatch):
+    from lexigrid.plans import store_queries
+
+    written, write = [], store_queries.materialise
+    monkeypatch.setattr(store_queries, "materialise", lambda df, label: written.append(df.dtypes) or write(df, label))
+    assert registry.flagship(spark, sf).count() == 200
+    assert written and not any(kind == "array<float>" for columns in written for _, kind in columns)
+
+
 def test_fn_array_rounds_as_duckdb_does(spark, tmp_path):
     values = [[-1e-5, 1e-5, -0.0], [0.000025, -0.000025, 0.00007500000356230885], [0.123475, -2.5, 0.0]]
     spark.createDataFrame(list(enumerate(values)), "vec_id long, embedding array<float>").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
