@@ -13,7 +13,7 @@ from lexigrid.plugins import all_plugins, get_plugin
 from lexigrid.sources import files, graph_store
 from lexigrid.streaming import events as S
 from lexigrid.streaming.ingest import ingest, run_to_table, watch
-from lexigrid.streaming.jobs import furthest
+from lexigrid.streaming.jobs import furthest, track
 
 
 @pytest.fixture(scope="module")
@@ -208,3 +208,17 @@ def test_job_states_only_move_forward():
     assert furthest(["extracting"], "resolving") == "resolving"
     assert furthest(["done"], "error") == "done"
     assert furthest(["unknown"]) == "queued"
+
+
+def test_job_stream_says_each_change_once_without_python(spark, tmp_path):
+    def put(rows):
+        spark.createDataFrame(rows, "job_id long, status string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    put([(1, "extracting"), (1, "queued"), (2, "error"), (3, "what"), (4, None), (5, "done"), (5, "error")])
+    put([(1, "extracting"), (1, "queued"), (2, "resolving"), (3, "queued"), (5, "error")])  # nothing new
+    put([(1, "summarising"), (2, "done"), (4, "error"), (6, "queued")])
+    stream = track(watch(spark, str(tmp_path / "in"), "job_id long, status string"))
+    assert "InPandas" not in stream._jdf.queryExecution().analyzed().toString()
+    got = sorted(tuple(r) for r in run_to_table(stream, "update").collect())
+    first = [(1, "extracting", 0.1), (2, "error", 1.0), (3, "queued", 0.0), (4, "queued", 0.0), (5, "done", 1.0)]
+    assert got == sorted([*first, (1, "summarising", 0.9), (2, "done", 1.0), (4, "error", 1.0), (6, "queued", 0.0)])
