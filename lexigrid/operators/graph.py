@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexigrid.functions.vectors import matrix
 from lexigrid.operators.components import connected_components
-from lexigrid.shipping import ship
+from lexigrid.shipping import release, ship
 from lexigrid.storage import discard, materialise, spread, tasks
 
 VITAL = ("DAY", "SEGMENT", "EPISODE", "TOPIC", "SUBTOPIC")
 BLOCK_ROWS = 4096
+#: Rows of a block that meet the other block at once.
+TILE_ROWS = 128
 #: Rows of a frontier, and sources of edges, that every executor may hold at once.
 FRONTIER, SOURCES = 100_000, 500_000
 
@@ -38,9 +44,9 @@ def with_endpoints(edges: DataFrame, nodes: DataFrame, key: str = "id") -> DataF
 def similarity_pairs(vectors: DataFrame, threshold: float, key: str = "id", vector: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``(a, b, similarity)`` of all pairs a < b with at least that cosine.
 
-    Exact. Rows are dealt to blocks; each pair of blocks meets in one task as a product of two
-    matrices. Memory of a task is bounded by the block, and the tasks grow with the
-    square of the blocks, as the comparisons do.
+    Exact. Rows are dealt to blocks; each pair of blocks meets in one task, some rows of one with all
+    of the other at a time. Memory of a task is bounded by the block and what such a strip gives, and the
+    tasks grow with the square of the blocks, as the comparisons do.
     """
     ship(vectors.sparkSession)
     rows = vectors.select(F.col(key).alias("id"), F.col(vector).alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
@@ -50,25 +56,33 @@ def similarity_pairs(vectors: DataFrame, threshold: float, key: str = "id", vect
     dealt = placed.select("id", "v", "p", F.explode(others).alias("q")).select("id", "v", "p", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"))
     kind = dict(rows.dtypes)["id"]
 
-    def unit(m: pd.Series) -> np.ndarray:
-        x = np.stack(m.to_numpy()).astype(np.float64)
+    def unit(x: np.ndarray) -> np.ndarray:
         n = np.sqrt((x * x).sum(axis=1, keepdims=True))
         return x / np.where(n == 0, 1, n)
 
-    def meet(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
-        i, j = key
-        left, right = t[t["p"] == i], t[t["p"] == j]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": [], "similarity": []})
-        s = unit(left["v"]) @ unit(right["v"]).T
-        x, y = np.nonzero(s >= threshold)
-        a, b = left["id"].to_numpy()[x], right["id"].to_numpy()[y]
-        keep = a < b if i == j else a != b
-        a, b, s = a[keep], b[keep], s[x, y][keep]
-        swap = a > b
-        return pd.DataFrame({"a": np.where(swap, b, a), "b": np.where(swap, a, b), "similarity": s})
+    def meet(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        i, j = (k.as_py() for k in key)
+        t = pa.Table.from_batches(list(batches)).combine_chunks()
+        sides = [t.filter(pc.equal(t["p"], k)) for k in (i, j)]
+        left, right = (s["id"].combine_chunks() for s in sides)
+        u, v = (unit(matrix(s["v"].combine_chunks())) if len(s) else None for s in sides)
+        del t, sides
+        if len(left) and len(right):
+            yield from _strips(left, u, right, v, threshold, i == j)
+        release()
+
+    return dealt.groupBy("i", "j").applyInArrow(meet, f"a {kind}, b {kind}, similarity double")
 
-    return dealt.groupBy("i", "j").applyInPandas(meet, f"a {kind}, b {kind}, similarity double")
+
+def _strips(left: pa.Array, u: np.ndarray, right: pa.Array, v: np.ndarray, threshold: float, same: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs of two blocks of unit vectors, or of one block with itself, a strip of rows at a time."""
+    for k in range(0, len(left), TILE_ROWS):
+        s = u[k : k + TILE_ROWS] @ v.T
+        x, y = np.nonzero(s >= threshold)
+        a, b, found = left.take(pa.array(x + k)), right.take(pa.array(y)), pa.array(s[x, y])
+        ordered = pc.less(a, b)
+        keep = ordered if same else pc.not_equal(a, b)
+        yield pa.RecordBatch.from_arrays([pc.if_else(ordered, a, b).filter(keep), pc.if_else(ordered, b, a).filter(keep), found.filter(keep)], ["a", "b", "similarity"])
 
 
 def clusters(pairs: DataFrame) -> DataFrame:

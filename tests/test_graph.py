@@ -1,5 +1,9 @@
 import itertools
 import random
+import tracemalloc
+
+import numpy as np
+import pyarrow as pa
 
 from lexigrid.operators import communities as C
 from lexigrid.operators import entities as E
@@ -126,6 +130,19 @@ def test_similarity_pairs_over_several_blocks(spark):
         assert {(r["a"], r["b"]) for r in G.similarity_pairs(v, 0.5, block_rows=block).collect()} == want
 
 
+def test_blocks_meet_in_strips():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(4096, 8))
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    ids = pa.array([f"{i:04}" for i in range(len(x))])
+    tracemalloc.start()
+    n = sum(b.num_rows for b in G._strips(ids, x, ids, x, 0.5, True))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20  # the product of the blocks takes 134 MB
+    assert n == np.count_nonzero(np.triu(x @ x.T >= 0.5, 1))
+
+
 def quality(pairs, part):
     m = len(pairs)
     deg = {}
