@@ -13,9 +13,12 @@ from pyspark.sql.pandas.types import to_arrow_type
 from lexigrid.functions import vectors as V
 from lexigrid.functions.text import excerpt, words
 from lexigrid.shipping import extended, map_arrow
+from lexigrid.storage import materialise, tasks
 
 #: Queries whose vectors are broadcast at once.
 QUERY_BYTES = 32 << 20
+#: Meetings of a query's word with a document that one task sums up.
+PAIRS = 8_000_000
 #: Rows and queries that a task compares at once, and pairs of vectors that it scores at once.
 TILE_ROWS, TILE_QUERIES, EXACT_ROWS = 4096, 1024, 1 << 14
 
@@ -194,20 +197,24 @@ def context_graph(found: DataFrame) -> tuple[DataFrame, DataFrame]:
 def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, doc_id: str = "doc_id", query_id: str = "query_id") -> DataFrame:
     """``(query_id, doc_id, score, rank)`` by BM25 over lower-case words.
 
-    Term frequencies are counted once; only terms that some query has are joined.
+    Documents are read once: of their words only those that some query has go on, and an empty one for each document,
+    which carries the totals. Their counts are dealt by document, so that scores are summed where they are made.
     """
+    wanted = materialise(queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(words(F.lower("text")))).alias("term")), "wanted")
+    terms = materialise(wanted.select(F.explode(F.array("term", F.lit(""))).alias("term")).distinct(), "terms")
     tokens = docs.select(F.col(doc_id).alias("doc_id"), words(F.lower("text")).alias("w"))
-    wanted = queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(words(F.lower("text")))).alias("term"))
-    lengths = tokens.select("doc_id", F.size("w").alias("dl"))
-    totals = lengths.where("dl >= 0").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    terms = wanted.select("term").distinct()
-    tf = tokens.select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term")).join(terms, "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    each = tokens.select("doc_id", F.size("w").alias("dl"), F.explode(F.concat("w", F.array(F.lit("")))).alias("term")).join(terms, "term", "left_semi")
+    tf = materialise(each.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")), "tf")
+    totals = tf.where("term = ''").agg(F.sum("tf").alias("n"), (F.sum(F.col("dl") * F.col("tf")).cast("double") / F.sum("tf")).alias("avgdl"))
+    df = materialise(tf.where("term <> ''").groupBy("term").agg(F.count(F.lit(1)).alias("df")), "df")
     # one row of totals
-    parts = tf.join(df, "term").crossJoin(F.broadcast(totals))
+    known = df.join(wanted, "term").crossJoin(F.broadcast(totals))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    parts = parts.select("doc_id", "term", (idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))).alias("s"))
-    scored = parts.join(wanted, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("s"), 6).alias("score"))
+    known = materialise(known.select("query_id", "term", "avgdl", "df", idf.alias("idf")), "known")
+    met = known.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+    parts = tf.where("term <> ''").repartition(tasks(tf.sparkSession, met, PAIRS) or int(tf.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id").join(known, "term")
+    s = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    scored = parts.groupBy("query_id", "doc_id").agg(F.round(F.sum(s), 6).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -1,3 +1,4 @@
+import math
 import tracemalloc
 
 import numpy as np
@@ -183,6 +184,27 @@ def test_trigrams_are_hashed_by_tables(monkeypatch):
     assert len(calls) < 1000  # for the tables; one for each trigram before
 
 
+def test_bm25_reads_documents_once(spark):
+    texts = {1: "the cat sat on the mat", 2: "The dog", 3: "a cat and a dog and a cat", 4: "", 5: None, 6: "nothing here"}
+    asked = {7: "Cat dog", 8: "mat the the", 9: "absent", 10: ""}
+    words = {d: t.lower().split() for d, t in texts.items() if t is not None}
+    mean = sum(map(len, words.values())) / len(words)
+    want = {}
+    for q, t in asked.items():
+        scores = {}
+        for term in set(t.lower().split()):
+            have = [d for d, w in words.items() if term in w]
+            for d in have:
+                f = words[d].count(term)
+                scores[d] = scores.get(d, 0) + math.log(1 + (len(words) - len(have) + 0.5) / (len(have) + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(words[d]) / mean))
+        for r, (d, s) in enumerate(sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:2], 1):
+            want[q, d] = (round(s, 6), r)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    out = R.bm25(docs, spark.createDataFrame(list(asked.items()), "query_id long, text string"), 2)
+    assert {(r["query_id"], r["doc_id"]): (r["score"], r["rank"]) for r in out.collect()} == want
+    assert "text#" not in out._jdf.queryExecution().optimizedPlan().toString()  # counts are made by then
+
+
 def test_late_rows_are_dropped(spark, tmp_path):
     def put(n, rows):
         spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double").withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
