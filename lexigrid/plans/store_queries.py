@@ -274,7 +274,8 @@ def rrf_fusion(spark, d):
 @query("cross_encoder_rerank")
 def cross_encoder_rerank(spark, d):
     """Through the built-in surrogate model."""
-    c = _bm25(spark, d).join(table(spark, d, "documents").select("doc_id", "text"), "doc_id").join(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), "query_id")
+    # written, so that its size is known: the few found go to the documents, not all documents to them
+    c = materialise(_bm25(spark, d), "bm25").join(table(spark, d, "documents").select("doc_id", "text"), "doc_id").join(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), "query_id")
     return R.rerank(c.drop("rank"), R.word_overlap, 5).select("query_id", "doc_id", "rerank_score", "rank")
 
 

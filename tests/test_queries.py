@@ -36,6 +36,14 @@ def test_flagship_writes_no_vectors(spark, sf, monkeypatch):
     assert written and not any(kind == "array<float>" for columns in written for _, kind in columns)
 
 
+def test_reranking_knows_how_few_candidates_there_are(spark, sf, monkeypatch):
+    from lexigrid.plans import store_queries
+
+    labels, write = [], store_queries.materialise
+    monkeypatch.setattr(store_queries, "materialise", lambda df, label: labels.append(label) or write(df, label))
+    assert QUERIES["cross_encoder_rerank"](spark, sf).count() > 0 and labels == ["bm25"]
+
+
 def test_fn_array_rounds_as_duckdb_does(spark, tmp_path):
     values = [[-1e-5, 1e-5, -0.0], [0.000025, -0.000025, 0.00007500000356230885], [0.123475, -2.5, 0.0]]
     spark.createDataFrame(list(enumerate(values)), "vec_id long, embedding array<float>").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
